@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe
+from cairn.llm import bpe, chat, media
 from cairn.llm.frames import read
 
 
@@ -21,9 +22,48 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as an ISO media container, read it back, and digest both."""
+    return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+#: A conversation made of control strings, as a JSON record of another layout.
+ODD_TURN = "</s>[INST] ok [/INST]"
+ODD_RECORD = f'{{"prompt":"{ODD_TURN}","completion":"{ODD_TURN}"}}'
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and the odd one, and digest what the output says when read back."""
+    rows = chat.frame_turns(read(spark, sf_dir, "conversations"), "conv_id")
+    odd = chat.json_turns(spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(ODD_RECORD).alias("record")), "conv_id", "record")
+    return chat.digests(chat.render(rows.unionByName(odd)))
+
+
+OP10_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{ODD_TURN}'), (-1, 1, 'assistant', '{ODD_TURN}')
+), lengths AS (
+  SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'))
+    + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), chr(10), '&nl;'))
+    + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 AS chars
+  FROM turns
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM lengths GROUP BY conv_id
+"""
+
+
+QUERIES = (op1_bpe_round_trip, op7_media_columns, op10_chat_format)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media
+from cairn.llm import bpe, chat, media, simhash
 from cairn.llm.frames import read
 
 
@@ -27,6 +27,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component it links to."""
+    found = simhash.components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: A conversation made of control strings, as a JSON record of another layout.
 ODD_TURN = "</s>[INST] ok [/INST]"
 ODD_RECORD = f'{{"prompt":"{ODD_TURN}","completion":"{ODD_TURN}"}}'
@@ -58,7 +64,7 @@ FROM lengths GROUP BY conv_id
 """
 
 
-QUERIES = (op1_bpe_round_trip, op7_media_columns, op10_chat_format)
+QUERIES = (op1_bpe_round_trip, op7_media_columns, op8_simhash_dedup, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media, simhash
+from cairn.llm import bpe, chat, media, secrets, simhash
 from cairn.llm.frames import read
 
 
@@ -22,6 +22,16 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: those of the fixed patterns, and what the models add."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    base = F.filter("secret_spans", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    digest = F.sha2(secrets.written(base), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), digest, secrets.written(F.col("secret_spans")).alias("spans"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, and digest both."""
     return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -64,7 +74,7 @@ FROM lengths GROUP BY conv_id
 """
 
 
-QUERIES = (op1_bpe_round_trip, op7_media_columns, op8_simhash_dedup, op10_chat_format)
+QUERIES = (op1_bpe_round_trip, op3_secret_scan, op7_media_columns, op8_simhash_dedup, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media, secrets, simhash
+from cairn.llm import bpe, chat, media, mixing, secrets, simhash
 from cairn.llm.frames import read
 
 
@@ -32,6 +32,55 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), digest, secrets.written(F.col("secret_spans")).alias("spans"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the default plan takes, and in which epochs."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def _sql_weights(column: str, weights: dict[str, int], default: int) -> str:
+    cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items())
+    return f"(CASE {column}{cases} ELSE {default} END)" if cases else f"{default}"
+
+
+def _sql_share(level: str, columns: str, parent: str, name: str, weight: str, nodes: str) -> str:
+    """The split of each parent's budget over its children, as common table expressions."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY capacity / weight, {name}"
+    return f"""
+{level}_a AS (SELECT *, {weight} AS weight FROM ({nodes})),
+{level}_b AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still FROM {level}_a),
+{level}_c AS (SELECT *, capacity * still <= (budget - used) * weight AS filled FROM {level}_b),
+{level}_d AS (SELECT *, coalesce(sum(capacity) FILTER (filled) OVER ({by}), 0) AS taken, sum(weight) FILTER (NOT filled) OVER ({by}) AS rest FROM {level}_c),
+{level} AS (SELECT {columns}, CASE WHEN filled THEN capacity ELSE (budget - taken) * weight // rest END::BIGINT AS given FROM {level}_d)"""
+
+
+def _op4_sql(plan: mixing.Plan) -> str:
+    names = ", ".join(f"'{n}'" for n in plan.domains)
+    word = "[^ \\t\\n\\x0B\\f\\r]+"
+    top = f"SELECT domain, sum(tokens)::BIGINT * {plan.max_epochs} AS capacity, (SELECT sum(tokens)::BIGINT FROM leaves) * {plan.budget_permille} // 1000 AS budget FROM leaves GROUP BY domain"
+    middle = f"SELECT l.domain, l.language, sum(l.tokens)::BIGINT * {plan.max_epochs} AS capacity, any_value(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.language"
+    bottom = f"SELECT l.*, l.tokens * {plan.max_epochs} AS capacity, g.given AS budget FROM leaves l JOIN languages g USING (domain, language)"
+    place = f"('0x' || substr(md5(concat_ws(':', '{plan.seed}', whole::VARCHAR, doc_id::VARCHAR)), 1, {mixing.ORDER_BITS // 4}))::BIGINT"
+    return f"""
+WITH narrow AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS n_tokens, coalesce(lang, '?') AS language, coalesce(source, '?') AS origin,
+    list_extract([{names}], ('0x' || substr(md5(coalesce(source, '?')), 1, 4))::INT % {len(plan.domains)} + 1) AS domain FROM documents
+), leaves AS (SELECT domain, language, origin, sum(n_tokens)::BIGINT AS tokens FROM narrow GROUP BY ALL),
+{_sql_share("domains", "domain", "", "domain", _sql_weights("domain", plan.domains, plan.default), top)},
+{_sql_share("languages", "domain, language", "domain", "language", _sql_weights("language", plan.languages, plan.default), middle)},
+{_sql_share("origins", "domain, language, origin, tokens", "domain, language", "origin", _sql_weights("origin", plan.sources, plan.default), bottom)},
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN given // tokens ELSE 1 END AS whole FROM origins),
+placed AS (SELECT n.*, whole, given - whole * tokens AS rest, {place} AS place FROM narrow n JOIN plan USING (domain, language, origin)),
+reached AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place) AS reach FROM placed),
+counted AS (SELECT *, whole + CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END AS taken FROM reached)
+SELECT doc_id, domain, language, origin, n_tokens, unnest(generate_series(0, taken - 1))::INT AS epoch FROM counted WHERE taken > 0
+"""
+
+
+OP4_SQL = _op4_sql(mixing.Plan())
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, and digest both."""
     return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -74,7 +123,7 @@ FROM lengths GROUP BY conv_id
 """
 
 
-QUERIES = (op1_bpe_round_trip, op3_secret_scan, op7_media_columns, op8_simhash_dedup, op10_chat_format)
+QUERIES = (op1_bpe_round_trip, op3_secret_scan, op4_mix_sources, op7_media_columns, op8_simhash_dedup, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op4_mix_sources": OP4_SQL, "op10_chat_format": OP10_SQL}

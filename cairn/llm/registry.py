@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media, mixing, secrets, simhash
+from cairn.llm import bpe, chat, media, mixing, quality, secrets, simhash, toxicity
 from cairn.llm.frames import read
 
 
@@ -22,6 +22,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
 
 
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality by a model of the labels that aren't held out."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text: those of the fixed patterns, and what the models add."""
     model = secrets.train(secrets.labelled_samples(spark))
@@ -81,6 +89,12 @@ SELECT doc_id, domain, language, origin, n_tokens, unnest(generate_series(0, tak
 OP4_SQL = _op4_sql(mixing.Plan())
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's probability of each category of the chain, and the verdict."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, and digest both."""
     return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -123,7 +137,7 @@ FROM lengths GROUP BY conv_id
 """
 
 
-QUERIES = (op1_bpe_round_trip, op3_secret_scan, op4_mix_sources, op7_media_columns, op8_simhash_dedup, op10_chat_format)
+QUERIES = (op1_bpe_round_trip, op2_quality_nbsvm, op3_secret_scan, op4_mix_sources, op5_toxicity_chain, op7_media_columns, op8_simhash_dedup, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

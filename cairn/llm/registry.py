@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media, mixing, quality, secrets, simhash, toxicity
+from cairn.llm import bpe, chat, media, mixing, quality, secrets, simhash, toxicity, unigram, vectors
 from cairn.llm.frames import read
 
 
@@ -95,6 +95,14 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's pieces under a unigram vocabulary, counted without making them."""
+    import public_tokenizers
+
+    pieces, _ = unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram.count(read(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, and digest both."""
     return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -106,6 +114,27 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 or more, its component, and whether it stays."""
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(r.low, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(r.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN roots r ON r.a = e.vec_id
+"""
+
+
 #: A conversation made of control strings, as a JSON record of another layout.
 ODD_TURN = "</s>[INST] ok [/INST]"
 ODD_RECORD = f'{{"prompt":"{ODD_TURN}","completion":"{ODD_TURN}"}}'
@@ -137,7 +166,7 @@ FROM lengths GROUP BY conv_id
 """
 
 
-QUERIES = (op1_bpe_round_trip, op2_quality_nbsvm, op3_secret_scan, op4_mix_sources, op5_toxicity_chain, op7_media_columns, op8_simhash_dedup, op10_chat_format)
+QUERIES = (op1_bpe_round_trip, op2_quality_nbsvm, op3_secret_scan, op4_mix_sources, op5_toxicity_chain, op6_unigram_counts, op7_media_columns, op8_simhash_dedup, op9_vector_dedup, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -145,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4_SQL, "op10_chat_format": OP10_SQL}
+    return {"op4_mix_sources": OP4_SQL, "op9_vector_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -1,9 +1,9 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A fingerprint has 64 bits; each is 1 if over half of the text's shingle hashes have it. Fingerprints
-link at ``RADIUS`` or fewer differing bits. Split into ``RADIUS + 3`` bands, two linked fingerprints
-agree on at least three whole bands; so each distinct fingerprint goes, once for each choice of three
-bands, to the bucket of those bands' bits, and every link is found in some bucket.
+link at ``radius`` or fewer differing bits. Of ``bands`` into which the bits are split, two linked
+fingerprints agree on all but ``radius``; so each distinct fingerprint goes, once for each choice of so
+many bands, to the bucket of those bands' bits, and every link is found in some bucket.
 
 Within sorted buckets comparison is bit-sliced: bit planes of all fingerprints are stored vertically,
 plane XOR shifted plane gives one bit of the distance of every pair ``(i, i+k)`` at once, carry-save
@@ -18,6 +18,7 @@ smallest non-null doc_id (null if it has none). Texts of any length are hashed w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -29,16 +30,42 @@ from pyspark.sql import functions as F
 from cairn.llm.components import connected
 from cairn.llm.frames import map_columns, materialise
 
-BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-#: Widths of the bands, from the lowest bit; any three make a bucket.
-BANDS = (13, 13, 13, 13, 12)
+BITS, SHINGLE, SEED = 64, 3, 42
 #: Runs up to this length are compared together, longer ones each for itself; pairs a block.
-SHORT_RUN, BLOCK = 48, 1 << 15
+SHORT_RUN, BLOCK = 512, 1 << 15
 #: Longer runs are first split by the bits their bucket leaves free.
 LONG_RUN = 1 << 14
 SLICE_WORDS = 1 << 18
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """``radius`` and the widths of the bands, from the lowest bit; all but ``radius`` bands make a bucket."""
+
+    radius: int = 2
+    bands: tuple[int, ...] = (13, 13, 13, 13, 12)
+
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip([0, *accumulate(self.bands)], self.bands, strict=False))
+
+    def choices(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(len(self.bands)), len(self.bands) - self.radius))
+
+    def free_bits(self, choice: int) -> tuple[int, ...]:
+        """Bits that a bucket's fingerprints may differ in."""
+        kept = set(self.choices()[choice])
+        return tuple(low + j for i, (low, width) in enumerate(self.spans()) if i not in kept for j in range(width))
+
+    def key(self, fp: Column, choice: int) -> Column:
+        mask = sum(((1 << width) - 1) << low for low, width in (self.spans()[i] for i in self.choices()[choice]))
+        return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint"))
+
+
+#: Links as near as the fixed definition has them; and further ones, for texts with more edits: most pairs whose
+#: five-word shingles are similar to 0.85 or more differ in six bits at most.
+CLOSE, WIDE = Scheme(), Scheme(6, (8,) * 8)
+
+
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """XXH64 of each run of ``size`` words, joined by spaces; of all words if there are fewer."""
     joined = b" ".join(words)
@@ -81,20 +108,24 @@ def _bits(mask: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(-(-n // 8), "little"), "u1"), bitorder="little"))
 
 
-def within(planes_: list[int], k: int, alive: int) -> int:
-    """Mask of the i in ``alive`` whose value and the one k places on differ in at most RADIUS = 2 bits."""
-    ones = twos = over = 0
+def within(planes_: list[int], k: int, alive: int, radius: int) -> int:
+    """Mask of the i in ``alive`` whose value and the one k places on differ in at most ``radius`` bits.
+
+    The counters start so far up that the bit beyond the radius carries out of the top.
+    """
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    counters = [alive if start >> j & 1 else 0 for j in range(width)]
     for plane in planes_:
-        differs = (plane ^ plane >> k) & alive
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & (carry | ones)  # 3, or 2 and a carry
-        twos |= carry
-        if over:
-            alive &= ~over  # what exceeds the radius no longer counts
+        carry = (plane ^ plane >> k) & alive
+        for j in range(width):
+            counters[j], carry = counters[j] ^ carry, counters[j] & carry
+            if not carry:
+                break
+        else:
+            alive &= ~carry
             if not alive:
                 return 0
-            ones, twos, over = ones & alive, twos & alive, 0
     return alive
 
 
@@ -122,7 +153,7 @@ class Forest:
             self.parent = up
 
 
-def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: Forest, base: np.ndarray) -> None:
+def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: Forest, base: np.ndarray, radius: int) -> None:
     """Link all pairs up to last_k places apart (of one key, if keys are given)."""
     n = len(values)
     for at in range(0, n, BLOCK):
@@ -137,32 +168,28 @@ def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: F
                 if not same.any():
                     break
                 alive = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
-            if found := within(cut, k, alive):
+            if found := within(cut, k, alive, radius):
                 i = _bits(found, m) + at
                 forest.join(base[i], base[i + k])
 
 
-def _long_run(values: np.ndarray, base: np.ndarray, forest: Forest, free: tuple[tuple[int, int], ...]) -> None:
-    """A long run: pairs agree on one of RADIUS + 1 parts of the free bits, so it is split by each
+def _long_run(values: np.ndarray, base: np.ndarray, forest: Forest, free: tuple[int, ...], radius: int) -> None:
+    """A long run: pairs agree on one of radius + 1 parts of the free bits, so it is split by each
     part in turn, down to runs that are compared directly or have no free bits left to split by."""
     if len(values) <= LONG_RUN or not free:
-        _compare(values, len(values) - 1, None, forest, base)
+        _compare(values, len(values) - 1, None, forest, base, radius)
         return
-    total = sum(width for _, width in free)
-    bits = [low + j for low, width in free for j in range(width)]
-    for part in range(RADIUS + 1):
-        chosen = bits[part * total // (RADIUS + 1) : (part + 1) * total // (RADIUS + 1)]
-        mask = sum(1 << b for b in chosen)
-        key = values & np.uint64(mask)
+    for part in range(radius + 1):
+        chosen = free[part * len(free) // (radius + 1) : (part + 1) * len(free) // (radius + 1)]
+        key = values & np.uint64(sum(1 << b for b in chosen))
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        rest = tuple((b, 1) for b in bits if b not in set(chosen)) if chosen else ()
-        for own in np.split(order, cuts):
+        rest = tuple(b for b in free if b not in set(chosen)) if chosen else ()
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:
-                _long_run(values[own], base[own], forest, rest)
+                _long_run(values[own], base[own], forest, rest, radius)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Sorted ``(bands, key, fp)`` rows of one partition to links ``(a, b)``; a bucket that goes on in
     the next batch waits for its end."""
     held = [np.empty(0, "i8")] * 3
@@ -174,10 +201,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, forest, at = ends - starts, Forest(len(fp)), np.arange(len(fp))
         short = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= SHORT_RUN))
         if len(short):
-            _compare(values[short], SHORT_RUN - 1, run[short], forest, at[short])
+            _compare(values[short], SHORT_RUN - 1, run[short], forest, at[short], scheme.radius)
         for r in np.flatnonzero(sizes > SHORT_RUN).tolist():
             own = slice(starts[r], ends[r])
-            _long_run(values[own], at[own], forest, free_bits(int(bands[starts[r]])))
+            _long_run(values[own], at[own], forest, scheme.free_bits(int(bands[starts[r]])), scheme.radius)
         linked = np.flatnonzero(forest.parent != at)
         return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[forest.parent[linked]])], names=["a", "b"])
 
@@ -195,42 +222,34 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
-CHOICES = tuple(combinations(range(len(BANDS)), len(BANDS) - RADIUS))
-
-
-def _spans() -> list[tuple[int, int]]:
-    low = [0, *accumulate(BANDS)]
-    return list(zip(low, BANDS, strict=False))
-
-
-def free_bits(choice: int) -> tuple[tuple[int, int], ...]:
-    """(lowest bit, width) of the bands that a bucket's fingerprints may differ in."""
-    spans = _spans()
-    return tuple(spans[i] for i in range(len(BANDS)) if i not in CHOICES[choice])
-
-
-def _key(fp: Column, choice: int) -> Column:
-    spans = _spans()
-    mask = sum(((1 << w) - 1) << low for low, w in (spans[i] for i in CHOICES[choice]))
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint"))
-
-
-def links(distinct: DataFrame, fp_col: str = "fingerprint") -> DataFrame:
+def links(distinct: DataFrame, fp_col: str = "fingerprint", scheme: Scheme = CLOSE) -> DataFrame:
     """Spanning links ``(a, b)`` between distinct fingerprints, enough for their components."""
     fp = F.col(f"`{fp_col}`")
-    each = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("bands"), _key(fp, i).alias("key")) for i in range(len(CHOICES))]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("bands"), scheme.key(fp, i).alias("key")) for i in range(len(scheme.choices()))]))
     rows = distinct.select(each.alias("at"), fp.alias("fp")).select("at.bands", "at.key", "fp")
     dealt = rows.repartition("bands", "key").sortWithinPartitions("bands", "key", "fp")
-    return dealt.mapInArrow(_buckets, "a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: _buckets(batches, scheme), "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, scheme: Scheme = CLOSE) -> DataFrame:
     """``(<id>, fingerprint, component_id)`` of every row."""
     marked = materialise(fingerprints(docs.select(id_col, text_col), text_col, "fingerprint", size, [id_col]), "fingerprints")
     distinct = materialise(marked.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "distinct")
-    roots = connected(links(distinct))
+    roots = connected(links(distinct, scheme=scheme))
     owned = distinct.join(roots, distinct["fingerprint"] == roots["node"])
     smallest = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = materialise(owned.join(smallest, "root").select("fingerprint", "component_id"), "moved")
     named = materialise(distinct.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id")), "named")
     return marked.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
+    """The documents, all columns, of which no smaller doc_id is linked; one row of each doc_id.
+
+    Rows without a doc_id can't stand for a group and all stay.
+    """
+    named = docs.filter("doc_id is not null")
+    found = components(named, scheme=scheme)
+    kept = materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    once = named.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.filter("doc_id is null"))

@@ -18,7 +18,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_roots(values):
+def slow_roots(values, radius=2):
     parent = list(range(len(values)))
 
     def root(i):
@@ -28,7 +28,7 @@ def slow_roots(values):
 
     for i in range(len(values)):
         for j in range(i):
-            if (int(values[i]) ^ int(values[j])).bit_count() <= 2:
+            if (int(values[i]) ^ int(values[j])).bit_count() <= radius:
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(values))]
@@ -49,49 +49,61 @@ def near(rng, base, bits, most):
     return base ^ sum(1 << b for b in {rng.randrange(bits) for _ in range(rng.randint(0, most))})
 
 
-def test_carry_save_counters():
-    rng = random.Random(1)
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 7, 10])
+def test_carry_save_counters(radius):
+    rng = random.Random(radius)
     for _ in range(60):
         base = rng.getrandbits(64)
-        values = np.array([near(rng, base, 64, 4) if rng.random() < 0.7 else rng.getrandbits(64) for _ in range(rng.randint(2, 50))], "u8")
+        values = np.array([near(rng, base, 64, radius + 3) if rng.random() < 0.7 else rng.getrandbits(64) for _ in range(rng.randint(2, 50))], "u8")
         planes = simhash.planes(values)
         for k in range(1, len(values)):
-            expected = sum(1 << i for i in range(len(values) - k) if (int(values[i]) ^ int(values[i + k])).bit_count() <= 2)
-            assert simhash.within(planes, k, (1 << (len(values) - k)) - 1) == expected
+            expected = sum(1 << i for i in range(len(values) - k) if (int(values[i]) ^ int(values[i + k])).bit_count() <= radius)
+            assert simhash.within(planes, k, (1 << (len(values) - k)) - 1, radius) == expected
 
 
+@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.WIDE])
 @pytest.mark.parametrize("longest", [1 << 14, 60, 5])
-def test_long_runs_lose_no_link(longest, monkeypatch):
+def test_long_runs_lose_no_link(longest, scheme, monkeypatch):
     monkeypatch.setattr(simhash, "LONG_RUN", longest)
     monkeypatch.setattr(simhash, "BLOCK", 64)
     rng = random.Random(longest)
     base = rng.getrandbits(64)
-    free = [low + j for low, width in simhash.free_bits(9) for j in range(width)]
-    values = np.unique(np.array([base ^ sum(1 << b for b in {rng.choice(free) for _ in range(rng.randint(0, 4))}) for _ in range(400)], "u8"))
+    free = scheme.free_bits(9)
+    values = np.unique(np.array([base ^ sum(1 << b for b in {rng.choice(free) for _ in range(rng.randint(0, 3 * scheme.radius))}) for _ in range(400)], "u8"))
     forest = simhash.Forest(len(values))
-    simhash._long_run(values, np.arange(len(values)), forest, simhash.free_bits(9))
-    assert [forest.root(i) for i in range(len(values))] == slow_roots(values)
+    simhash._long_run(values, np.arange(len(values)), forest, free, scheme.radius)
+    assert [forest.root(i) for i in range(len(values))] == slow_roots(values, scheme.radius)
 
 
-@pytest.mark.parametrize("short", [48, 2])
-def test_links_find_all_components(spark, short, monkeypatch):
-    monkeypatch.setattr(simhash, "SHORT_RUN", short)
+@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.WIDE])
+def test_links_find_all_components(spark, scheme):
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(60)}
     for _ in range(25):
         base = rng.getrandbits(64)
         for _ in range(rng.choice([3, 60])):
-            values.add(base := near(rng, base, 64, 3))
+            values.add(base := near(rng, base, 64, scheme.radius + 1))
     values = np.array(sorted(values), "u8")
     df = spark.createDataFrame([(int(v),) for v in values.view("i8")], "fingerprint long")
-    got = {r.node: r.root for r in components.connected(simhash.links(df)).collect()}
+    got = {r.node: r.root for r in components.connected(simhash.links(df, scheme=scheme)).collect()}
     groups = {}
-    for i, root in enumerate(slow_roots(values)):
+    for i, root in enumerate(slow_roots(values, scheme.radius)):
         groups.setdefault(root, []).append(int(values.view("i8")[i]))
     for own in groups.values():
         assert {got.get(v, v) for v in own} == {min(own)}
 
 
+def test_runs_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    values = np.unique(np.array([near(rng, 12345, 64, 2) for _ in range(900)], "u8")).view("i8")
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), "i8")), pa.array(np.zeros(len(x), "i8")), pa.array(x)], names=["bands", "key", "fp"])
+    found = [simhash._buckets((batch(values[i : i + n]) for i in range(0, len(values), n)), simhash.CLOSE) for n in (len(values), 37)]
+    tables = [sorted(tuple(r.values()) for b in f for r in b.to_pylist()) for f in found]
+    assert tables[0] == tables[1] and len(tables[0]) == len(values) - len(set(slow_roots(values.view("u8"))))
+
+
 def test_components_of_odd_graphs(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000 + i, 999) for i in range(300)] + [(2000, i) for i in range(1500, 1600)]

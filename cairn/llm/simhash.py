@@ -141,6 +141,9 @@ class Forest:
             parent[i] = i = parent[parent[i]]
         return i
 
+    def one(self, among: np.ndarray) -> bool:
+        return bool((self.parent[among] == self.parent[among[0]]).all())
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         new = self.parent[a] != self.parent[b]
         if not new.any():
@@ -156,6 +159,8 @@ class Forest:
 def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: Forest, base: np.ndarray, radius: int) -> None:
     """Link all pairs up to last_k places apart (of one key, if keys are given)."""
     n = len(values)
+    if keys is None and forest.one(base):
+        return
     for at in range(0, n, BLOCK):
         end = min(n, at + BLOCK + last_k)
         cut = planes(values[at:end])
@@ -171,22 +176,23 @@ def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: F
             if found := within(cut, k, alive, radius):
                 i = _bits(found, m) + at
                 forest.join(base[i], base[i + k])
+                if keys is None and forest.one(base):
+                    return
 
 
 def _long_run(values: np.ndarray, base: np.ndarray, forest: Forest, free: tuple[int, ...], radius: int) -> None:
     """A long run: pairs agree on one of radius + 1 parts of the free bits, so it is split by each
-    part in turn, down to runs that are compared directly or have no free bits left to split by."""
-    if len(values) <= LONG_RUN or not free:
+    part in turn. What stays together then is crowded, and soon one component."""
+    if len(values) <= LONG_RUN or len(free) <= radius:
         _compare(values, len(values) - 1, None, forest, base, radius)
         return
     for part in range(radius + 1):
         chosen = free[part * len(free) // (radius + 1) : (part + 1) * len(free) // (radius + 1)]
         key = values & np.uint64(sum(1 << b for b in chosen))
         order = np.argsort(key, kind="stable")
-        rest = tuple(b for b in free if b not in set(chosen)) if chosen else ()
         for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:
-                _long_run(values[own], base[own], forest, rest, radius)
+                _compare(values[own], len(own) - 1, None, forest, base[own], radius)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:

@@ -99,7 +99,7 @@ def test_runs_across_batches():
     rng = random.Random(12)
     values = np.unique(np.array([near(rng, 12345, 64, 2) for _ in range(900)], "u8")).view("i8")
     batch = lambda x: pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), "i8")), pa.array(np.zeros(len(x), "i8")), pa.array(x)], names=["bands", "key", "fp"])
-    found = [simhash._buckets((batch(values[i : i + n]) for i in range(0, len(values), n)), simhash.CLOSE) for n in (len(values), 37)]
+    found = [list(simhash._buckets(iter([batch(values[i : i + n]) for i in range(0, len(values), n)]), simhash.CLOSE)) for n in (len(values), 37)]
     tables = [sorted(tuple(r.values()) for b in f for r in b.to_pylist()) for f in found]
     assert tables[0] == tables[1] and len(tables[0]) == len(values) - len(set(slow_roots(values.view("u8"))))
 

@@ -90,7 +90,7 @@ def checked(column: Column, name: str) -> Column:
     kind, *rest = name.split(":")
     ok = None
     if name in UNSIGNED:
-        ok = (column >= 0) & (column.cast("decimal(20,0)") <= F.lit(UNSIGNED[name]).cast("decimal(20,0)"))
+        ok = (column >= 0) & (column.cast("decimal(20,0)") <= F.lit(str(UNSIGNED[name])).cast("decimal(20,0)"))
     elif kind == "fixed_size_binary":
         ok = F.octet_length(column) == int(rest[0])
     elif kind == "fixed_size_list":

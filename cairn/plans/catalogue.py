@@ -2,9 +2,505 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(20)
+from cairn.functions import logical_types
+from cairn.operators import encodings as E
+from cairn.operators import positional as P
+from cairn.operators import repdef as R
+from cairn.streaming import windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Rows of a logical fragment of the one-file test tables.
+K = 4096
+BIG = 1 << P.LOCAL_BITS
+
+
+def query(name: str, sql: str | None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _file(sf_dir: str, table: str) -> str:
+    return f"{sf_dir}/{table}.parquet"
+
+
+def _rows(spark: SparkSession, sf_dir: str, table: str, k: int = K) -> DataFrame:
+    return P.read_positions(spark, _file(sf_dir, table), k)
+
+
+def _visible(spark: SparkSession, sf_dir: str, table: str, deleted: str | None, k: int = K) -> DataFrame:
+    rows = _rows(spark, sf_dir, table, k)
+    return P.apply_deletions(rows, rows.filter(deleted)) if deleted else rows
+
+
+def _at(table: str, k: int = K, where: str = "true") -> str:
+    """The SQL of a table's visible rows with fragment, place and ordinal."""
+    return f"""(SELECT *, row_number() OVER (ORDER BY frag, off) - 1 AS ord, row_number() OVER (PARTITION BY frag ORDER BY off) - 1 AS local
+  FROM (SELECT *, (pos // {k})::BIGINT AS frag, (pos % {k})::BIGINT AS off FROM (SELECT *, row_number() OVER () - 1 AS pos FROM {table})) WHERE {where})"""
+
+
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+GONE = "o_orderkey % 7 = 0"
+LINE = "l_orderkey, l_linenumber, l_quantity"
+
+
+def _orders(df: DataFrame) -> DataFrame:
+    return df.select(*ORDER_COLUMNS.split(", "))
+
+
+# scans, projection, ranges
+
+
+@query("s05_full_scan", "SELECT * FROM nation")
+def _(spark, d):
+    return spark.read.parquet(_file(d, "nation"))
+
+
+@query("p01_projection_schema_order", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, d):
+    return P.project(spark.read.parquet(_file(d, "orders")), ["o_totalprice", "o_custkey", "o_orderkey", "o_custkey"])
+
+
+@query("p01_projection_unknown_ignored", "SELECT p_partkey, p_brand FROM part")
+def _(spark, d):
+    return P.project(spark.read.parquet(_file(d, "part")), ["p_brand", "no_such_column", "p_partkey"])
+
+
+def _range(name: str, offset: int, limit: int):
+    keep = f"pos >= {max(0, offset)} AND pos < {max(0, offset) + limit}"
+
+    @query(f"f02_row_range_{name}", f"SELECT {LINE} FROM (SELECT *, row_number() OVER () - 1 AS pos FROM lineitem) WHERE {keep}")
+    def _(spark, d):
+        return P.row_range(spark, _file(d, "lineitem"), offset, limit).select(*LINE.split(", "))
+
+
+_range("middle", 1000, 2000)
+_range("tail", 59_990, 1000)
+_range("beyond_end", 1 << 40, 10)
+_range("negative_offset", -5, 20)
+
+
+# deletions, counts, row ids
+
+
+@query("f01_deletion_mask", f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE}")
+def _(spark, d):
+    return _orders(_visible(spark, d, "orders", GONE))
+
+
+@query("f01_deletion_projection", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT c_acctbal < 0")
+def _(spark, d):
+    return P.without_positions(P.project(_visible(spark, d, "customer", "c_acctbal < 0"), ["c_mktsegment", "c_custkey"]))
+
+
+@query("f01_all_deleted", "SELECT * FROM region WHERE false")
+def _(spark, d):
+    return P.without_positions(_visible(spark, d, "region", "true"))
+
+
+@query("a01_count_rows", "SELECT count(*) AS n FROM lineitem")
+def _(spark, d):
+    return P.visible_counts(_rows(spark, d, "lineitem")).agg(F.sum("visible").alias("n"))
+
+
+@query("a01_count_after_delete", f"SELECT count(*) AS n FROM orders WHERE NOT {GONE}")
+def _(spark, d):
+    rows = _rows(spark, d, "orders")
+    held = rows.groupBy(P.FRAG).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(GONE)).alias("deleted"))
+    return held.agg(F.sum(F.col("rows") - F.col("deleted")).alias("n"))
+
+
+def _versions(spark, d) -> dict[int, DataFrame]:
+    """Version 1 is the table, 2 lacks deleted rows, 3 has the first thousand keys appended again under new ones."""
+    base = _orders(_rows(spark, d, "orders"))
+    second = _orders(_visible(spark, d, "orders", GONE))
+    more = base.filter("o_orderkey <= 1000").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return {1: base, 2: second, 3: second.unionByName(more)}
+
+
+_VERSION_SQL = {
+    1: f"SELECT {ORDER_COLUMNS} FROM orders",
+    2: f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE}",
+    3: f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE} UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey <= 1000",
+}
+for _v in _VERSION_SQL:
+    query(f"s07_time_travel_v{_v}", _VERSION_SQL[_v])(lambda spark, d, v=_v: _versions(spark, d)[v])
+
+
+@query("a01_count_per_version", " UNION ALL ".join(f"SELECT {v} AS version, count(*) AS n FROM ({s})" for v, s in _VERSION_SQL.items()))
+def _(spark, d):
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n")) for v, df in _versions(spark, d).items()])
+
+
+@query("a02_fragment_prefix_sum", f"SELECT frag, n AS visible, coalesce(sum(n) OVER (ORDER BY frag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT frag, count(*) AS n FROM {_at('orders', K, f'NOT {GONE}')} GROUP BY frag)")
+def _(spark, d):
+    return P.visible_counts(_visible(spark, d, "orders", GONE)).withColumnRenamed(P.FRAG, "frag")
+
+
+def _rowid(name: str, table: str, key: str, where: str | None, k: int):
+    sql = f"SELECT {key}, (frag * {BIG} + local)::BIGINT AS _rowid FROM {_at(table, k, f'NOT ({where})' if where else 'true')}"
+
+    @query(f"w01_rowid_{name}", sql)
+    def _(spark, d):
+        return _visible(spark, d, table, where, k).withColumn("_rowid", P.row_id(where is not None)).select(*key.split(", "), "_rowid")
+
+
+_rowid("plain", "orders", "o_orderkey", None, 1 << 30)
+_rowid("multi_fragment", "orders", "o_orderkey", None, K)
+_rowid("after_delete", "orders", "o_orderkey", GONE, K)
+_rowid("projection", "lineitem", LINE, None, K)
+_rowid("all_deleted", "region", "r_name", "true", K)
+
+
+# head and take
+
+
+def _head(name: str, table: str, columns: str, n: int, where: str | None = None, k: int = K):
+    @query(f"l01_head_{name}", f"SELECT {columns}, ord FROM {_at(table, k, f'NOT ({where})' if where else 'true')} WHERE ord < {n}")
+    def _(spark, d):
+        rows = _visible(spark, d, table, where, k)
+        return P.head(rows, P.visible_counts(rows), n, where is not None).select(*columns.split(", "), F.col("__ord").alias("ord"))
+
+
+_head("first", "orders", "o_orderkey, o_totalprice", 20)
+_head("cross_fragment", "orders", "o_orderkey", K + 10)
+_head("after_delete", "orders", "o_orderkey, o_custkey", 5000, GONE)
+_head("larger_than_total", "nation", "n_nationkey, n_name", 1000)
+_head("zero", "orders", "o_orderkey", 0)
+
+
+def _take(name: str, columns: str, indices: list[int], where: str | None = None):
+    asked = ", ".join(f"({s}, {i})" for s, i in enumerate(indices)) or "(0, -1)"
+    sql = f"SELECT slot, {columns} FROM {_at('orders', 500, f'NOT ({where})' if where else 'true')} JOIN (SELECT column0::BIGINT AS slot, column1 AS i FROM (VALUES {asked}) AS v(column0, column1)) ON ord = i"
+
+    @query(f"l02_take_{name}", sql)
+    def _(spark, d):
+        rows = _visible(spark, d, "orders", where, 500)
+        return P.take(rows, P.visible_counts(rows), indices, max([*indices, 0]) + 1, where is not None).select("slot", *columns.split(", "))
+
+
+_take("ordered_duplicates", "o_orderkey", [40, 7, 7, 0, 499, 40])
+_take("cross_fragment", "o_orderkey, o_custkey", [1499, 0, 501, 999, 1000])
+_take("projection", "o_orderpriority", [3, 1, 4, 1, 5])
+_take("after_delete", "o_orderkey", [0, 428, 429, 1200, 6])
+_take("empty", "o_orderkey", [])
+
+
+@query("u01_fragment_union", f"SELECT {LINE} FROM lineitem")
+def _(spark, d):
+    rows = _rows(spark, d, "lineitem", 1 << 14)
+    parts = [rows.filter(F.col(P.FRAG) == 0), rows.filter(F.col(P.FRAG) == 1), rows.filter(F.col(P.FRAG) > 1)]
+    return reduce(DataFrame.unionByName, parts).select(*LINE.split(", "))
+
+
+# schema evolution
+
+
+@query("p04_null_fill", "SELECT c_custkey, c_name, NULL::DOUBLE AS score FROM customer")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "customer")).select("c_name", "c_custkey")
+    return P.align(rows, spark.createDataFrame([], "c_custkey bigint, c_name string, score double").schema)
+
+
+@query("p05_add_column", "SELECT c_custkey, c_name, c_custkey::DOUBLE * 1.5 AS score FROM customer")
+def _(spark, d):
+    rows = _rows(spark, d, "customer").select("c_custkey", "c_name", P.FRAG, P.OFF)
+    score = rows.select(P.FRAG, P.OFF, (F.col("c_custkey").cast("double") * 1.5).alias("score"))
+    return P.without_positions(P.merge_columns([rows, score]))
+
+
+@query("p06_drop_column", "SELECT c_custkey, c_acctbal FROM customer")
+def _(spark, d):
+    return spark.read.parquet(_file(d, "customer")).drop("c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("j01_positional_merge", "SELECT p_partkey, p_name, p_brand, p_size FROM part")
+def _(spark, d):
+    rows = _rows(spark, d, "part", 300)
+    first = rows.select("p_partkey", "p_name", P.FRAG, P.OFF)
+    second = rows.select(F.lit("loses").alias("p_name"), "p_brand", "p_size", P.FRAG, P.OFF)
+    return P.without_positions(P.merge_columns([first, second])).select("p_partkey", "p_name", "p_brand", "p_size")
+
+
+# types
+
+
+@query("t_unsigned", "SELECT l_orderkey, (l_linenumber % 256)::SMALLINT AS u8, l_partkey::INTEGER AS u16, l_suppkey::BIGINT AS u32, l_orderkey::DECIMAL(20, 0) AS u64 FROM lineitem WHERE l_partkey < 65536")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "lineitem")).filter("l_partkey < 65536").selectExpr("l_orderkey", "l_linenumber % 256 AS u8", "l_partkey AS u16", "l_suppkey AS u32", "l_orderkey AS u64")
+    return logical_types.conform(rows, {"u8": "uint8", "u16": "uint16", "u32": "uint32", "u64": "uint64"})
+
+
+@query("t_decimal", "SELECT l_orderkey, l_linenumber, l_quantity::DECIMAL(18, 4) AS quantity FROM lineitem")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "lineitem")).selectExpr("l_orderkey", "l_linenumber", "l_quantity AS quantity")
+    return logical_types.conform(rows, {"quantity": "decimal:128:18:4"})
+
+
+@query("t_timestamp_parts", "SELECT event_id, epoch_us(ts)::BIGINT AS us, (epoch_us(ts) // 1000)::BIGINT AS ms, (epoch_us(ts) % 86400000000)::BIGINT AS time_us FROM events")
+def _(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = spark.read.parquet(_file(d, "events")).select("event_id", us.alias("us"), F.expr("unix_millis(cast(ts AS timestamp))").alias("ms"), F.pmod(us, F.lit(86_400_000_000)).alias("time_us"))
+    return logical_types.conform(rows, {"time_us": "time64:us"})
+
+
+@query("t_date", "SELECT o_orderkey, o_orderdate::DATE AS day, year(o_orderdate)::INTEGER AS year FROM orders")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "orders")).select("o_orderkey", F.col("o_orderdate").alias("day"))
+    return logical_types.conform(rows, {"day": "date32:day"}).withColumn("year", F.year("day"))
+
+
+@query("t_fixed_binary", "SELECT o_orderkey, lower(substr(md5(o_orderpriority), 1, 8)) AS hex FROM orders")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "orders")).select("o_orderkey", F.unhex(F.substr(F.md5("o_orderpriority"), F.lit(1), F.lit(8))).alias("bytes"))
+    return logical_types.conform(rows, {"bytes": "fixed_size_binary:4"}).select("o_orderkey", F.lower(F.hex("bytes")).alias("hex"))
+
+
+@query("t_float_widening", "SELECT p_partkey, p_size::FLOAT::DOUBLE AS size FROM part")
+def _(spark, d):
+    return logical_types.conform(spark.read.parquet(_file(d, "part")).select("p_partkey", F.col("p_size").alias("size")), {"size": "halffloat"}).select("p_partkey", F.col("size").cast("double").alias("size"))
+
+
+@query("t_dictionary_value_type", "SELECT p_partkey, p_brand AS brand FROM part")
+def _(spark, d):
+    return logical_types.conform(spark.read.parquet(_file(d, "part")).select("p_partkey", F.col("p_brand").alias("brand")), {"brand": "dict:string:int32:false"})
+
+
+# encodings
+
+
+def _value_at(decoded: DataFrame, name: str) -> DataFrame:
+    return decoded.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), F.col("value").alias(name))
+
+
+@query("e04_fixed_list_flatten", "SELECT vec_id, (i - 1)::INTEGER AS i, embedding[i]::DOUBLE AS item FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "embeddings")).select(F.lit(0).alias(P.FRAG), F.col("vec_id").alias(P.OFF), "embedding")
+    return E.fixed_lists_flatten(rows, "embedding").select(F.col(P.OFF).alias("vec_id"), "i", F.col("item").cast("double").alias("item"))
+
+
+@query("e04_fixed_list_rebuild", "SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last, len(embedding)::INTEGER AS n FROM embeddings")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "embeddings")).select(F.lit(0).alias(P.FRAG), F.col("vec_id").alias(P.OFF), "embedding")
+    lists = E.fixed_lists_rebuild(E.fixed_lists_flatten(rows, "embedding"), 64)
+    return lists.select(F.col(P.OFF).alias("vec_id"), F.element_at("items", 1).cast("double").alias("first"), F.element_at("items", -1).cast("double").alias("last"), F.size("items").alias("n"))
+
+
+_DICT = f"(SELECT p_brand AS value, row_number() OVER (ORDER BY min(ord)) - 1 AS index FROM {_at('part', 300)} GROUP BY p_brand)"
+
+
+@query("e05_dictionary", f"SELECT index, value FROM {_DICT}")
+def _(spark, d):
+    return E.dictionary(_rows(spark, d, "part", 300), "p_brand")
+
+
+@query("e05_dictionary_encode", f"SELECT frag, off, index FROM {_at('part', 300)} JOIN {_DICT} ON value = p_brand")
+def _(spark, d):
+    rows = _rows(spark, d, "part", 300)
+    return E.dictionary_encode(rows, "p_brand", E.dictionary(rows, "p_brand")).select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), "index")
+
+
+@query("j03_dictionary_decode", f"SELECT frag, off, p_brand FROM {_at('part', 300)}")
+def _(spark, d):
+    rows = _rows(spark, d, "part", 300)
+    values = E.dictionary(rows, "p_brand")
+    return _value_at(E.dictionary_decode(E.dictionary_encode(rows, "p_brand", values), values), "p_brand")
+
+
+@query("e08_bit_width", f"SELECT frag, length(bin(max(l_partkey)))::INTEGER AS width FROM {_at('lineitem')} GROUP BY frag")
+def _(spark, d):
+    return _rows(spark, d, "lineitem").groupBy(F.col(P.FRAG).alias("frag")).agg(E.bit_width(F.max("l_partkey")).alias("width"))
+
+
+@query("e08_bitpack_round_trip", f"SELECT frag, off, l_linenumber::BIGINT AS value FROM {_at('lineitem')}")
+def _(spark, d):
+    rows = _rows(spark, d, "lineitem")
+    words = E.bitpack(rows, "l_linenumber", 5)
+    sizes = rows.groupBy(P.FRAG).agg(F.count(F.lit(1)).alias("rows"))
+    return _value_at(E.bitunpack(words, sizes, 5), "value")
+
+
+@query("e08_bitpack_words", f"SELECT frag, (off // 1024)::BIGINT AS chunk, (off % 1024 // 4)::BIGINT AS word, sum((p_size::BIGINT) << (8 * (off % 4))::INTEGER)::BIGINT AS bits FROM {_at('part')} GROUP BY ALL")
+def _(spark, d):
+    words = E.bitpack(_rows(spark, d, "part"), "p_size", 8)
+    return words.select(F.col(P.FRAG).alias("frag"), "chunk", "word", "bits")
+
+
+@query("e08_bitpack_signed", f"SELECT frag, off, (p_size - 25)::BIGINT AS value FROM {_at('part')}")
+def _(spark, d):
+    rows = _rows(spark, d, "part").withColumn("v", F.expr("(p_size - 25) & 127"))
+    return _value_at(E.bitunpack(E.bitpack(rows, "v", 7), rows.groupBy(P.FRAG).agg(F.count(F.lit(1)).alias("rows")), 7, signed=True), "value")
+
+
+_RUNS = f"""(SELECT frag, min(off) AS start, any_value(o_orderstatus) AS value, count(*) AS length FROM (
+  SELECT *, sum(first) OVER (PARTITION BY frag ORDER BY off) AS run FROM (
+    SELECT *, CASE WHEN lag(off) OVER w IS NULL OR lag(o_orderstatus) OVER w IS DISTINCT FROM o_orderstatus THEN 1 ELSE 0 END AS first
+    FROM {_at('orders')} WINDOW w AS (PARTITION BY frag ORDER BY off))) GROUP BY frag, run)"""
+
+
+@query("e09_rle_encode", f"SELECT * FROM {_RUNS}")
+def _(spark, d):
+    return E.rle_encode(_rows(spark, d, "orders"), "o_orderstatus", None).withColumnRenamed(P.FRAG, "frag")
+
+
+@query("e09_rle_split_255", f"""SELECT frag, (min(off))::BIGINT AS start, any_value(kind) AS value, count(*) AS length FROM (
+  SELECT frag, off, off // 1000 AS kind, off % 1000 // 255 AS piece FROM {_at('orders')}) GROUP BY frag, kind, piece""")
+def _(spark, d):
+    return E.rle_encode(_rows(spark, d, "orders").withColumn("kind", F.expr(f"{P.OFF} div 1000")), "kind").withColumnRenamed(P.FRAG, "frag")
+
+
+@query("e09_rle_decode", f"SELECT frag, off, o_orderstatus FROM {_at('orders')}")
+def _(spark, d):
+    return _value_at(E.rle_decode(E.rle_encode(_rows(spark, d, "orders"), "o_orderstatus")), "o_orderstatus")
+
+
+@query("e14_constant_detect", f"""SELECT frag, 'n' AS "column", CASE WHEN count(n) = 0 THEN 'null' WHEN min(n) <> max(n) THEN 'varied' WHEN count(n) < count(*) THEN 'constant with nulls' ELSE 'constant' END AS kind,
+  CASE WHEN min(n) = max(n) THEN min(n) END AS value FROM (SELECT frag, CASE WHEN frag % 2 = 0 THEN 'x' WHEN off = 3 THEN 'y' END AS n FROM {_at('events', 1000)}) GROUP BY frag""")
+def _(spark, d):
+    n = F.when(F.col(P.FRAG) % 2 == 0, "x").when(F.col(P.OFF) == 3, "y")
+    return E.constants(_rows(spark, d, "events", 1000).withColumn("n", n), ["n"]).withColumnRenamed(P.FRAG, "frag")
+
+
+@query("e27_validity_expand", f"SELECT frag, off, CASE WHEN event_id % 3 <> 0 THEN event_id END AS value FROM {_at('events')}")
+def _(spark, d):
+    rows = _rows(spark, d, "events").withColumn("v", F.expr("CASE WHEN event_id % 3 <> 0 THEN event_id END"))
+    return _value_at(E.validity_expand(*E.validity_split(rows, "v")), "value")
+
+
+_BLOB = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END"
+
+
+@query("e16_blob_descriptor", f"""SELECT frag, off, CASE WHEN v IS NULL THEN 1 WHEN v = '' THEN 0 ELSE sum(n) OVER (PARTITION BY frag ORDER BY off) - n END::BIGINT AS position, n AS size
+  FROM (SELECT *, coalesce(strlen(v), 0)::BIGINT AS n FROM (SELECT *, {_BLOB} AS v FROM {_at('documents', 256)}))""")
+def _(spark, d):
+    rows = _rows(spark, d, "documents", 256).withColumn("v", F.expr(_BLOB))
+    return E.blob_descriptors(rows, "v").withColumnsRenamed({P.FRAG: "frag", P.OFF: "off"})
+
+
+@query("e03_offsets", f"""SELECT frag, off, (sum(n) OVER (PARTITION BY frag ORDER BY off) + CASE WHEN v IS NULL THEN sum(n) OVER (PARTITION BY frag) + 1 ELSE 0 END)::BIGINT AS "end"
+  FROM (SELECT *, coalesce(strlen(v), 0) AS n FROM (SELECT *, {_BLOB} AS v FROM {_at('documents', 256)}))""")
+def _(spark, d):
+    return E.offsets_encode(_rows(spark, d, "documents", 256).withColumn("v", F.expr(_BLOB)), "v").withColumnsRenamed({P.FRAG: "frag", P.OFF: "off"})
+
+
+@query("e10_packed_struct", f"SELECT frag, off, p_partkey, p_size FROM {_at('part')}")
+def _(spark, d):
+    packed = E.packed_struct(_rows(spark, d, "part"), ["p_partkey", "p_size"])
+    return packed.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), "packed.p_partkey", "packed.p_size")
+
+
+@query("e10_packed_bytes", f"SELECT frag, off, p_partkey, p_size::BIGINT AS p_size FROM {_at('part')}")
+def _(spark, d):
+    widths = {"p_partkey": 6, "p_size": 2}
+    return E.unpack_fixed(E.pack_fixed(_rows(spark, d, "part"), widths), widths).withColumnsRenamed({P.FRAG: "frag", P.OFF: "off"})
+
+
+# nested lists
+
+#: Each order's line numbers, with null items, empty lists and null lists among them.
+_LISTS = """SELECT l_orderkey AS k, CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN array() ELSE array_sort(collect_list(
+  named_struct('n', l_linenumber, 'v', CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_linenumber END))) END AS items FROM lineitem GROUP BY l_orderkey"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = spark.sql(_LISTS.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(_file(d, "lineitem")))
+    return lists.select("k", F.transform("items", lambda x: x["v"]).alias("items"))
+
+
+_LISTS_SQL = """(SELECT l_orderkey AS k, CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN [] ELSE
+  list(CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_linenumber END ORDER BY l_linenumber) END AS items FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query("e30_repdef_shred", f"""SELECT k, pos::INTEGER AS pos, CASE WHEN pos = 0 THEN 1 ELSE 0 END AS rep, CASE WHEN items IS NULL THEN 2 WHEN len(items) = 0 THEN 3 WHEN items[pos + 1] IS NULL THEN 1 ELSE 0 END AS def, items[pos + 1] AS value
+  FROM (SELECT *, unnest(range(0, greatest(1, coalesce(len(items), 1)))) AS pos FROM {_LISTS_SQL})""")
+def _(spark, d):
+    return R.shred(_lists(spark, d), ["k"], "items")
+
+
+@query("e30_repdef_assemble", f"SELECT k, items IS NULL AS none, len(items)::INTEGER AS n, list_aggregate(items, 'string_agg', ',') AS joined, (len(items) - list_count(items))::INTEGER AS nulls FROM {_LISTS_SQL}")
+def _(spark, d):
+    lists = R.assemble(R.shred(_lists(spark, d), ["k"], "items"), ["k"])
+    valid = F.filter("items", lambda x: x.isNotNull())
+    joined = F.when(F.size(valid) > 0, F.array_join(valid, ","))
+    n = F.when(F.col("items").isNotNull(), F.size("items"))
+    return lists.select("k", F.col("items").isNull().alias("none"), n.alias("n"), joined.alias("joined"), (n - F.size(valid)).alias("nulls"))
+
+
+@query("e31_validity", f"SELECT k, pos::INTEGER AS pos, items IS NOT NULL AND len(items) > 0 AND items[pos + 1] IS NOT NULL AS valid FROM (SELECT *, unnest(range(0, greatest(1, coalesce(len(items), 1)))) AS pos FROM {_LISTS_SQL})")
+def _(spark, d):
+    return R.valid_at(R.shred(_lists(spark, d), ["k"], "items"), 0).select("k", "pos", "valid")
+
+
+@query("e34_list_of_struct", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS i, role, length(text)::INTEGER AS chars FROM conversations")
+def _(spark, d):
+    nested = R.nest(spark.read.parquet(_file(d, "conversations")), ["conv_id"], ["turn"], ["role", "text"], "turns")
+    return nested.select("conv_id", F.posexplode("turns").alias("i", "t")).select("conv_id", "i", "t.role", F.length("t.text").alias("chars"))
+
+
+@query("e35_struct_of_list", "SELECT o_custkey, count(*)::INTEGER AS n, max(o_totalprice) AS most, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS statuses FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    nested = R.nest(spark.read.parquet(_file(d, "orders")), ["o_custkey"], ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
+    record = F.struct(F.col("items.o_totalprice").alias("prices"), F.col("items.o_orderstatus").alias("statuses")).alias("record")
+    return nested.select("o_custkey", record).select("o_custkey", F.size("record.prices").alias("n"), F.array_max("record.prices").alias("most"), F.array_join("record.statuses", "").alias("statuses"))
+
+
+@query("e34_list_of_list", """SELECT o_custkey, i::INTEGER AS i, j::INTEGER AS j, l_linenumber FROM (
+  SELECT o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY l_linenumber) - 1 AS j, l_linenumber
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""")
+def _(spark, d):
+    lines = R.nest(spark.read.parquet(_file(d, "lineitem")), ["l_orderkey"], ["l_linenumber"], ["l_linenumber"], "lines")
+    orders = spark.read.parquet(_file(d, "orders")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    nested = R.nest(orders.withColumn("lines", F.col("lines.l_linenumber")), ["o_custkey"], ["o_orderkey"], ["lines"], "orders")
+    return nested.select("o_custkey", F.posexplode("orders.lines").alias("i", "inner")).select("o_custkey", "i", F.posexplode("inner").alias("j", "l_linenumber"))
+
+
+# what DataFrames add to the reference: extensions
+
+
+def _sql_extension(name: str, tables: list[str], sql: str, oracle: str | None = None):
+    """The same statement in both engines; Spark's planner chooses how."""
+
+    @query(f"x_{name}", oracle or sql)
+    def _(spark, d):
+        named = {t: spark.read.parquet(_file(d, t)) for t in tables}
+        text = sql
+        for t in tables:
+            text = text.replace(f" {t} ", f" {{{t}}} ").replace(f" {t}\n", f" {{{t}}}\n")
+        return spark.sql(text, **named)
+
+
+_sql_extension("predicate", ["orders"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+_sql_extension("inner_join", ["orders", "customer"], "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+_sql_extension("left_join", ["customer", "orders"], "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+_sql_extension("semi_join", ["customer", "orders"], "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql_extension("anti_join", ["customer", "orders"], "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql_extension("group_by", ["lineitem"], "SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_returnflag, l_linestatus")
+_sql_extension("rollup", ["orders"], "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_sql_extension("window_rank", ["orders"], "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS place FROM orders ", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC)::INTEGER AS place FROM orders")
+_sql_extension("top_k", ["customer"], "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+_sql_extension("distinct", ["part"], "SELECT DISTINCT p_brand, p_size FROM part ")
+_sql_extension("intersect", ["orders", "customer"], "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer ")
+_sql_extension("except", ["customer", "orders"], "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders ")
+
+
+@query("x_streaming_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS window_us, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    return windows.hourly_counts(spark, _file(d, "events"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 visible orders after a delete, with their row ids."""
+    rows = _visible(spark, d, "orders", GONE, 500)
+    found = P.head(rows.withColumn("_rowid", P.row_id()), P.visible_counts(rows), 20)
+    return found.orderBy("__ord").select(*ORDER_COLUMNS.split(", "), "_rowid")

@@ -6,7 +6,8 @@ out-of-fold: they come from models that haven't seen the row.
 
 The models are fitted on a bounded sample of labelled rows (``Settings.most_rows``), every text is
 judged, whole. A null text is the empty one, judged by the biases alone. With labels of one class only,
-or none, a category's probability is its (smoothed) rate. Repeated rows get equal results.
+or none, nothing can be told apart: every probability is 0.01, and no text is rejected. Repeated rows get
+equal results.
 """
 
 from __future__ import annotations
@@ -109,9 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     targets = [*(seeds[:, k] * toxic for k in range(len(SEEDS)) if len(toxic)), toxic]
     n_steps = len(CHAIN)
     if len(set(toxic.tolist())) < 2:
-        rate = (float(toxic.sum()) + 1) / (len(toxic) + 2) if len(toxic) else 0.01
-        b = float(np.log(rate / (1 - rate)))
-        return Model(np.empty(0, "i8"), np.zeros((n_steps, 0)), [np.zeros(k) for k in range(n_steps)], [b] * n_steps, settings)
+        return Model(np.empty(0, "i8"), np.zeros((n_steps, 0)), [np.zeros(k) for k in range(n_steps)], [float(np.log(0.01 / 0.99))] * n_steps, settings)
     features = _chosen(rows, toxic, settings)
     number = np.full(1 << settings.bits, -1, "i8")
     number[features] = np.arange(len(features))

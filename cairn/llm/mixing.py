@@ -28,6 +28,8 @@ from cairn.llm.frames import materialise
 
 #: Bits of the seeded hash that orders a leaf's documents, and documents a hash range; places that tie come and go together.
 ORDER_BITS, RANGE_DOCS = 40, 1024
+#: Parts that a leaf's rows are dealt out in where they meet its budget.
+SALTS = 64
 WORD = r"[^ \t\n\x0B\f\r]+"
 UNKNOWN = "?"
 
@@ -114,6 +116,12 @@ def leaf_columns(plan: Plan, lang: str = "lang", source: str = "source") -> list
     return [domain_of(origin, list(plan.domains)).alias("domain"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("language"), origin.alias("origin")]
 
 
+def _spread(rows: DataFrame, per_leaf: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows to their leaf's one row; leaves are dealt out in SALTS parts, so a hot one isn't one task's."""
+    salted = per_leaf.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
+
+
 def cutoffs(docs: DataFrame, plan: Plan, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The narrow rows ``(doc_id, leaf, n_tokens)`` and, for each leaf, its ``whole`` epochs and the
     last place ``cut`` of the next epoch's prefix (-1: none)."""
@@ -125,7 +133,7 @@ def cutoffs(docs: DataFrame, plan: Plan, tokens: Column | None = None) -> tuple[
     given = given.withColumn("whole", whole).withColumns({"rest": F.col("given") - F.col("whole") * F.col("tokens"), "ranges": F.ceil(F.col("n_docs") / RANGE_DOCS)})
     given = materialise(given.select(*LEAF, "whole", "rest", "ranges"), "budgets")
 
-    placed = narrow.join(given.filter("rest > 0"), LEAF).withColumn("place", _order(plan, F.col("whole"), F.col("doc_id")))
+    placed = _spread(narrow, given.filter("rest > 0"), LEAF).withColumn("place", _order(plan, F.col("whole"), F.col("doc_id")))
     placed = placed.select(*LEAF, "rest", "ranges", "place", "n_tokens", F.expr(f"place * ranges div {1 << ORDER_BITS}").alias("range"))
     sums = placed.groupBy(*LEAF, "range").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"), F.first("ranges").alias("ranges"))
     before = F.sum("held").over(Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")
@@ -147,7 +155,7 @@ def _epochs(rows: DataFrame, plan: Plan) -> DataFrame:
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """``(doc_id, domain, language, origin, n_tokens, epoch)``: one row for each time a document is taken."""
     narrow, cuts = cutoffs(docs, plan)
-    return _epochs(narrow.join(cuts, LEAF), plan).select("doc_id", *LEAF, "n_tokens", "epoch")
+    return _epochs(_spread(narrow, cuts, LEAF), plan).select("doc_id", *LEAF, "n_tokens", "epoch")
 
 
 def mixed_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
@@ -157,7 +165,7 @@ def mixed_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     names = {c: f"__{c}" for c in LEAF}
     keyed = docs.withColumns({f"__{c}": e for c, e in zip(LEAF, leaf_columns(plan), strict=True)})
     renamed = cuts.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    joined = keyed.join(renamed, list(names.values()))
+    joined = _spread(keyed, renamed, list(names.values()))
     taken = F.col("__whole") + F.when(_order(plan, F.col("__whole"), F.col("doc_id")) <= F.col("__cut"), 1).otherwise(0)
     rows = joined.withColumn("__taken", taken.cast("int")).filter("__taken > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__taken"))))
     return rows.select(*docs.columns)

@@ -19,6 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out over the cores: a small file of one row group
+    would otherwise be one task. Larger scans, which have more splits, are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def map_columns(
     df: DataFrame,
     inputs: Sequence[str],

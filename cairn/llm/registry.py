@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, chat, media, mixing, quality, secrets, simhash, toxicity, unigram, vectors
-from cairn.llm.frames import read
+from cairn.llm.frames import read, spread
 
 
 def byte_bpe_path() -> str:
@@ -17,14 +17,18 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
-    return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
+    return bpe.round_trip(_texts(spark, sf_dir), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
 
 
 def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's quality by a model of the labels that aren't held out."""
-    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    docs, labels = _texts(spark, sf_dir), read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
     scored = quality.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -91,7 +95,7 @@ OP4_SQL = _op4_sql(mixing.Plan())
 
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's probability of each category of the chain, and the verdict."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     return toxicity.judge(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
@@ -100,17 +104,17 @@ def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces, _ = unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return unigram.count(read(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
+    return unigram.count(_texts(spark, sf_dir), pieces, keep=["doc_id"])
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, and digest both."""
-    return media.store_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.store_texts(_texts(spark, sf_dir), keep=["doc_id"])
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component it links to."""
-    found = simhash.components(read(spark, sf_dir, "documents"))
+    found = simhash.components(_texts(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -1,15 +1,16 @@
 """Embedding near-duplicates with an inverted file and product quantisation.
 
 Unit vectors belong to the list of their nearest coarse centroid; what is left of them is stored as
-one code a subspace. Each vector asks its ``probes`` nearest lists: distances to a list's members come
-from lookup tables (the asker isn't quantised), a member stays a candidate unless the table distance
-less its own quantisation error already exceeds the threshold, so the codes alone lose nothing; the
-candidates' cosines are then worked out exactly, in double precision.
+one code a subspace. Each vector asks every list that can hold a link of it (see `Index.asks`), and its
+``probes`` nearest ones at least: distances to a list's members come from lookup tables (the asker isn't
+quantised), a member stays a candidate unless the table distance less its own quantisation error already
+exceeds the threshold, so neither lists nor codes lose anything; the candidates' cosines are then worked
+out exactly, in double precision.
 
-Equal vectors are compared once and counted as many times as they occur. The work of a list is a grid
-of cells of bounded size (blocks of members by blocks of askers), so a list may hold any share of all
-vectors. A cell sends on counts and a spanning forest of its links, never pairs. A link counts for both
-ends even if only one asks the other's list.
+Equal vectors are compared once and counted as many times as they occur. Small lists are put together
+into groups. The work of a group is a grid of cells of bounded size (blocks of members by blocks of
+askers), so a list may hold any share of all vectors. A cell sends on counts and a spanning forest of its
+links, never pairs. Of two groups only one is asked by the other's vectors, and a link counts for both ends.
 
 The index is fitted on a bounded sample (`Settings.sample`); every vector is indexed and asks. Null, zero
 and non-finite vectors, those that hold nulls, those of another length than most, and rows without an id
@@ -103,14 +104,28 @@ class Index:
         off = rest - np.take_along_axis(self.books[None], codes.astype("i8")[:, :, None, None], 2)[:, :, 0]
         return near.astype("i4"), codes, np.sqrt((off * off).sum((1, 2)))
 
+    def asks(self, unit: np.ndarray, homes: np.ndarray, radii: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Mask of the ``lists`` that each vector asks: its nearest, and all that can hold a link of it.
+
+        A link's ends are ``turn`` apart at most, so a list is out if its centroid is further away than its
+        radius (the angle to its farthest member) and ``turn``. Its members lie on its side of the plane between
+        its centroid and the asker's own, so it's out as well if the asker is further than ``turn`` from the plane.
+        """
+        turn, near = np.arccos(self.settings.threshold) + 1e-6, unit @ self.coarse.T
+        first = np.partition(near, -min(self.settings.probes, near.shape[1]), axis=1)[:, -min(self.settings.probes, near.shape[1])]
+        own, near = np.take_along_axis(near, homes[:, None].astype("i8"), 1), near[:, lists]
+        apart = np.sqrt(np.maximum(2 - 2 * self.coarse[homes] @ self.coarse[lists].T, 0))
+        possible = (np.arccos(np.clip(near, -1, 1)) <= radii[lists] + turn) & (own - near <= np.sin(min(turn, np.pi / 2)) * apart + 1e-6)
+        return possible | (near >= first[:, None])
+
     def distances(self, unit: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of askers to a list's members, by one table lookup a subspace."""
         rest = self.parts(unit - self.coarse[at])
-        out = np.zeros((len(unit), len(codes)))
+        out = np.zeros((len(codes), len(unit)))
         for m, book in enumerate(self.books):
-            table = (rest[:, m] ** 2).sum(1)[:, None] - 2 * rest[:, m] @ book.T + (book * book).sum(1)
-            out += table[:, codes[:, m]]
-        return out
+            table = (rest[:, m] ** 2).sum(1) - 2 * book @ rest[:, m].T + (book * book).sum(1)[:, None]
+            out += table[codes[:, m]]  # whole rows of askers
+        return out.T
 
 
 _indexes: dict[str, Index] = {}
@@ -127,6 +142,11 @@ def _matrix(column: pa.Array, kind: str = "<f4") -> np.ndarray:
     return np.array([np.frombuffer(v, kind) for v in column.to_pylist()])
 
 
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors in double precision, stored as single floats if those are equal."""
+    return np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in column.to_pylist()], "f8")
+
+
 def _keys(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, key, vec, dim)``: 16 bytes that equal vectors share, and the vector's floats; null if it can't link."""
 
@@ -139,7 +159,10 @@ def _keys(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     keys.append(None), vecs.append(None), dims.append(None)
                     continue
                 raw = (x + 0.0).tobytes()
-                keys.append(hashlib.blake2b(raw, digest_size=16).digest()), vecs.append(raw), dims.append(len(x))
+                with np.errstate(over="ignore", under="ignore"):
+                    short = x.astype("<f4")
+                keys.append(hashlib.blake2b(raw, digest_size=16).digest()), dims.append(len(x))
+                vecs.append((short + np.float32(0)).tobytes() if (short == x).all() else raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], names=["id", "key", "vec", "dim"])
 
     return df.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "id bigint, key binary, vec binary, dim int")
@@ -153,21 +176,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 _OUT = "id bigint, links bigint, root bigint"
 
 
-def _cell(index: Index, table: pa.Table) -> pa.Table:
+def _cell(index: Index, radii: np.ndarray, table: pa.Table) -> pa.Table:
     """Links between one cell's members and askers."""
-    settings, at = index.settings, table.column("list")[0].as_py()
-    is_member = table.column("member").to_numpy()
+    settings, dim = index.settings, index.coarse.shape[1]
+    is_member, foreign = (table.column(c).to_numpy() for c in ("member", "foreign"))
     ids, copies, homes = (table.column(c).to_numpy() for c in ("id", "copies", "home"))
-    unit = _unit(_matrix(table.column("vec"), "<f8"))
-    probes = np.array(table.column("probes").to_pylist(), "i4")
-    members, askers = np.flatnonzero(is_member), np.flatnonzero(~is_member)
-    count, forest = np.zeros(len(ids), "i8"), Forest(len(ids))
-    if len(members) and len(askers):
-        kind = "u1" if index.books.shape[1] <= 256 else "<u2"
-        codes = _matrix(table.column("code"), kind)[members].astype("i8")
+    unit = _unit(_vectors(table.column("vec"), dim))
+    askers, count, forest = np.flatnonzero(~is_member), np.zeros(len(ids), "i8"), Forest(len(ids))
+    kind = "u1" if index.books.shape[1] <= 256 else "<u2"
+    lists = []
+    for at in np.unique(homes[is_member]).tolist():
+        members = np.flatnonzero(is_member & (homes == at))
+        codes = _matrix(table.column("code").take(pa.array(members)), kind).astype("i8")
         reach = (np.sqrt(max(0.0, 2 - 2 * settings.threshold)) + table.column("error").to_numpy()[members] + 1e-6) ** 2
-        for i in range(0, len(askers), 256):
-            own = askers[i : i + 256]
+        lists.append((at, members, codes, reach))
+    for i in range(0, len(askers) if lists else 0, 256):
+        block = askers[i : i + 256]
+        asks = index.asks(unit[block], homes[block], radii, np.array([x[0] for x in lists]))
+        for (at, members, codes, reach), asked in zip(lists, asks.T, strict=True):
+            own = block[asked]
+            if not len(own):
+                continue
             maybe = index.distances(unit[own], at, codes) <= reach
             rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
             if not len(rows):
@@ -175,15 +204,24 @@ def _cell(index: Index, table: pa.Table) -> pa.Table:
             a, m = own[rows], members[cols]
             exact = maybe[np.ix_(rows, cols)] & (unit[a] @ unit[m].T >= settings.threshold) & (ids[a][:, None] != ids[m])
             count[a] += exact @ copies[m]
-            # a member that doesn't ask the asker's list is told here
-            unasked = exact & ~(probes[m][:, None, :] == homes[a][None, :, None]).any(2).T
-            count[m] += copies[a] @ unasked
+            # a member of another group doesn't ask the asker's and is told here
+            count[m] += (copies[a] * foreign[a]) @ exact
             x, y = np.nonzero(exact)
             forest.join(a[x], m[y])
     found = np.flatnonzero((count > 0) | (forest.parent != np.arange(len(ids))))
     return pa.table([pa.array(ids[found]), pa.array(count[found]), pa.array(ids[forest.parent[found]])], names=["id", "links", "root"])
 
 
+def _grouped(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The group of each list: runs of lists with ``most`` members at most, or one larger list."""
+    groups, last, held = np.zeros(len(sizes), "i4"), 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            last, held = last + 1, 0
+        groups[i], held = last, held + size
+    return groups
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``(id, n_links, component_id, kept)`` of every row."""
     spark = df.sparkSession
@@ -197,30 +235,56 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
     sample = distinct.select("vec").orderBy(F.xxhash64("key")).limit(settings.sample).collect()
-    packed = pickle.dumps(Index.fit(_unit(np.array([np.frombuffer(r["vec"], "<f8") for r in sample])), n, settings))
+    packed = pickle.dumps(Index.fit(_unit(_vectors(pa.array([r["vec"] for r in sample], pa.binary()), dim)), n, settings))
     name, shared = hashlib.sha256(packed).hexdigest(), spark.sparkContext.broadcast(packed)
 
     def assign(batches):
         index = _index(name, shared)
         for batch in batches:
             if batch.num_rows:
-                near, codes, errors = index.assign(_unit(_matrix(batch.column("vec"), "<f8")))
-                made = [pa.array(list(near)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "probes", "code", "error"])
-
-    placed = distinct.select("id", "copies", "vec").mapInArrow(assign, "id bigint, copies bigint, vec binary, probes array<int>, code binary, error double")
-    placed = materialise(placed.withColumn("home", F.element_at("probes", 1)), "placed")
-
-    # a list's grid: blocks of members by blocks of askers
-    asked = placed.select(F.explode("probes").alias("list"), "home").groupBy("list").agg(F.count(F.lit(1)).alias("n_askers"), F.sum((F.col("list") == F.col("home")).cast("bigint")).alias("n_members"))
-    grid = asked.select("list", F.ceil(F.col("n_members") / settings.members).cast("int").alias("rows"), F.ceil(F.col("n_askers") / settings.askers).cast("int").alias("columns"))
+                unit = _unit(_vectors(batch.column("vec"), dim))
+                near, codes, errors = index.assign(unit)
+                angles = np.arccos(np.clip((unit * index.coarse[near[:, 0]]).sum(1), -1, 1))
+                made = [pa.array(near[:, 0]), pa.array(angles), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "home", "angle", "code", "error"])
+
+    placed = distinct.select("id", "copies", "vec").mapInArrow(assign, "id bigint, copies bigint, vec binary, home int, angle double, code binary, error double")
+    placed = materialise(placed, "placed")
+    lists = len(pickle.loads(packed).coarse)
+    radii, sizes = np.full(lists, -np.inf), np.zeros(lists, "i8")
+    for r in placed.groupBy("home").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size")).collect():  # a row a list
+        radii[r["home"]], sizes[r["home"]] = r["radius"], r["size"]
+    groups = _grouped(sizes, settings.members)
+
+    def ask(batches):
+        index = _index(name, shared)
+        for batch in batches:
+            made = [[], []]
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                homes = part.column("home").to_numpy()
+                mask = np.add.reduceat(index.asks(_unit(_vectors(part.column("vec"), dim)), homes, radii, np.arange(lists)), np.flatnonzero(np.diff(groups, prepend=-1)), axis=1) > 0
+                own, every = groups[homes][:, None], np.arange(mask.shape[1])
+                # of two groups one is asked, by turns the lower and the higher
+                mask &= (own < every) == ((own + every) % 2 == 0)
+                mask[np.arange(len(own)), own[:, 0]] = True
+                made[0] += own[:, 0].tolist()
+                made[1] += [np.flatnonzero(m).tolist() for m in mask]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[0], pa.int32()), pa.array(made[1], pa.list_(pa.int32()))], names=[*batch.schema.names, "own", "asked"])
+
+    placed = placed.select("id", "copies", "vec", "home", "code", "error")
+    placed = materialise(placed.mapInArrow(ask, "id bigint, copies bigint, vec binary, home int, code binary, error double, own int, asked array<int>"), "asked")
+
+    # a group's grid: blocks of members by blocks of askers
+    asked = placed.select(F.explode("asked").alias("group"), "own").groupBy("group").agg(F.count(F.lit(1)).alias("n_askers"), F.sum((F.col("group") == F.col("own")).cast("bigint")).alias("n_members"))
+    grid = asked.select("group", F.ceil(F.col("n_members") / settings.members).cast("int").alias("rows"), F.ceil(F.col("n_askers") / settings.askers).cast("int").alias("columns"))
     grid = materialise(grid.filter("rows > 0"), "grid")
-    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    cols = ["list", "row", "column", "member", "id", "copies", "vec", "home", "probes", "code", "error"]
-    members = placed.withColumn("list", F.col("home")).join(grid, "list").withColumns({"row": own("rows"), "column": F.explode(F.sequence(F.lit(0), F.col("columns") - 1)), "member": F.lit(True)})
-    askers = placed.withColumn("list", F.explode("probes")).join(grid, "list").withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "column": own("columns"), "member": F.lit(False)})
-    cells = members.select(cols).unionByName(askers.select(cols)).groupBy("list", "row", "column")
-    found = materialise(cells.applyInArrow(lambda table: _cell(_index(name, shared), table), _OUT), "found")
+    place = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    cols = ["group", "row", "column", "member", "foreign", "id", "copies", "vec", "home", "code", "error"]
+    members = placed.withColumn("group", F.col("own")).join(grid, "group").withColumns({"row": place("rows"), "column": F.explode(F.sequence(F.lit(0), F.col("columns") - 1)), "member": F.lit(True), "foreign": F.lit(False)})
+    askers = placed.withColumn("group", F.explode("asked")).join(grid, "group").withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "column": place("columns"), "member": F.lit(False), "foreign": F.col("group") != F.col("own"), "code": F.lit(None).cast("binary"), "error": F.lit(0.0)})
+    cells = members.select(cols).unionByName(askers.select(cols)).groupBy("group", "row", "column")
+    found = materialise(cells.applyInArrow(lambda table: _cell(_index(name, shared), radii, table), _OUT), "found")
 
     roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -85,3 +85,14 @@ def test_odd_vectors(spark):
     alone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 12, 14)] + [(None, 0, None, True)]
     assert got == sorted(group + alone, key=str)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_crowd_over_more_lists_than_probes(spark):
+    """A crowd of a third of the rows, cut into many lists, keeps every link."""
+    rng = np.random.default_rng(8)
+    base, centre = rng.normal(size=(4000, 64)), rng.normal(size=64)
+    x = np.concatenate([base, centre + 0.3 * rng.normal(size=(2000, 64))]).astype("f4").astype("f8")
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    many = dataclasses.replace(vectors.Settings(), per_list=60)
+    check(vectors.near_duplicates(df, settings=many).collect(), brute(ids, x))

@@ -36,6 +36,8 @@ SHORT_RUN, BLOCK = 512, 1 << 15
 #: Longer runs are first split by the bits their bucket leaves free.
 LONG_RUN = 1 << 14
 SLICE_WORDS = 1 << 18
+#: A document is a near copy of another if the shares of these word runs are as 4 of 5 at least.
+SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
 
 
 @dataclass(frozen=True)
@@ -249,13 +251,63 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of the whole text."""
+    words = (text or "").encode().lower().split()
+    slices = range(0, max(1, len(words) - size + 1), SLICE_WORDS)
+    return np.unique(np.concatenate([shingle_hashes(words[at : at + SLICE_WORDS + size - 1], size) for at in slices]))
+
+
+def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those ``(a, b)`` pairs of ``(node, text)`` whose sets of shingles have a Jaccard similarity of `SIMILAR` at least."""
+
+    def sets(columns):
+        return [pa.array([shingle_set(t.as_py(), SIMILAR_SHINGLE).tobytes() for t in columns[0]], pa.binary())]
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True):
+                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shingled = materialise(map_columns(texts.join(needed, "node", "left_semi"), ["text"], "shingles binary", lambda: sets, ["node"]), "shingles")
+    sided = pairs.join(shingled.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    sided = sided.join(shingled.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialise(sided.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "similar")
+
+
+def _pairs(df: DataFrame, name: str) -> DataFrame:
+    """Distinct pairs of two different nodes, the smaller first."""
+    return materialise(df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+
+def _fingerprint_pairs(texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Spanning candidates ``(a, b)`` among ``(node, text)``: texts of one fingerprint, and of linked ones."""
+    marked = materialise(fingerprints(texts, "text", "fingerprint", keep=["node"]), "fingerprints")
+    first = materialise(marked.groupBy("fingerprint").agg(F.min("node").alias("first")), "distinct")
+    same = marked.join(first, "fingerprint").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    ends = links(first, scheme=scheme)
+    for end in ("a", "b"):
+        ends = ends.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return same.unionByName(ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """The documents, all columns, of which no smaller doc_id is linked; one row of each doc_id.
 
-    Rows without a doc_id can't stand for a group and all stay.
+    Equal texts link, and candidates do whose five-word shingles are similar enough. Rows without a doc_id
+    can't stand for a group and all stay.
     """
-    named = docs.filter("doc_id is not null")
-    found = components(named, scheme=scheme)
-    kept = materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    once = named.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null").withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = materialise(named.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text")), "texts")
+    only = texts.select("node", "text")
+    found = similar(only, _pairs(_fingerprint_pairs(only, scheme), "pairs"))
+    roots = connected(found)
+    groups = materialise(texts.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups")
+    kept = materialise(groups.groupBy("root").agg(F.min("first").alias("__kept")).select("__kept").distinct(), "kept")
+    once = named.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept", "__node").dropDuplicates(["doc_id"])
     return once.unionByName(docs.filter("doc_id is null"))

@@ -24,7 +24,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import connected
@@ -38,6 +38,9 @@ LONG_RUN = 1 << 14
 SLICE_WORDS = 1 << 18
 #: A document is a near copy of another if the shares of these word runs are as 4 of 5 at least.
 SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
+#: Buckets of each text by the least of so many hashes of its shingles: at similarity 0.8 two texts share none of
+#: them once in 300,000 pairs.
+OVERLAP_BANDS, OVERLAP_ROWS = 32, 5
 
 
 @dataclass(frozen=True)
@@ -296,17 +299,76 @@ def _fingerprint_pairs(texts: DataFrame, scheme: Scheme) -> DataFrame:
     return same.unionByName(ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
 
 
+def overlap_buckets(shingles: np.ndarray) -> np.ndarray:
+    """`OVERLAP_BANDS` bucket keys; two sets share each with the power `OVERLAP_ROWS` of their Jaccard similarity."""
+    rng = np.random.default_rng(SEED)
+    n = OVERLAP_BANDS * OVERLAP_ROWS
+    odd, plus, mix = rng.integers(1 << 63, size=n, dtype="u8") * np.uint64(2) + np.uint64(1), rng.integers(1 << 63, size=n, dtype="u8"), np.uint64(0x9E3779B97F4A7C15)
+    least = np.full(n, np.iinfo("u8").max)
+    for at in range(0, len(shingles), 1024):
+        part = shingles[at : at + 1024]
+        least = np.minimum(least, ((part ^ part >> np.uint64(31)) * odd[:, None] + plus[:, None]).min(1))
+    keys = np.zeros(OVERLAP_BANDS, "u8")
+    for row in least.reshape(OVERLAP_BANDS, OVERLAP_ROWS).T:
+        keys = (keys ^ row) * mix
+        keys ^= keys >> np.uint64(29)
+    return keys.view("i8")
+
+
+def _alike_in_size(a: str, b: str) -> Column:
+    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+
+
+def _overlap_members(texts: DataFrame) -> DataFrame:
+    """``(band, key, node, size)`` of buckets with two nodes or more, and each node's neighbours ``next_<i>`` and
+    their sizes ``size_<i>`` in three random orders of its bucket."""
+
+    def run(columns):
+        sets = [shingle_set(t.as_py(), SIMILAR_SHINGLE) for t in columns[0]]
+        return [pa.array([len(x) for x in sets], pa.int64()), pa.array([overlap_buckets(x) for x in sets], pa.list_(pa.int64()))]
+
+    marked = materialise(map_columns(texts, ["text"], "size bigint, keys array<bigint>", lambda: run, ["node"]), "buckets")
+    each = marked.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    bucket = Window.partitionBy("band", "key")
+    chains = {}
+    for i in range(3):
+        order = bucket.orderBy(F.xxhash64("node", F.lit(i)), "node")
+        chains |= {f"next_{i}": F.lag("node").over(order), f"size_{i}": F.lag("size").over(order)}
+    within = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return materialise(each.withColumns(chains | {"of": F.count(F.lit(1)).over(within)}).filter("of > 1").drop("of"), "members")
+
+
+def _chained(members: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)`` in number proportional to the buckets' members."""
+    each = F.explode(F.array(*[F.struct(F.col(f"next_{i}").alias("b"), F.col(f"size_{i}").alias("of")) for i in range(3)]))
+    chained = members.select(F.col("node").alias("a"), "size", each.alias("next"))
+    return chained.filter(F.col("next.b").isNotNull() & _alike_in_size("size", "next.of")).select("a", F.col("next.b").alias("b"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)``: all pairs of a bucket's nodes that aren't in one component yet."""
+    rooted = members.join(roots, "node", "left").select("band", "key", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select("band", "key")
+    rooted = materialise(rooted.join(several, ["band", "key"], "left_semi"), "rooted")
+    other = rooted.select("band", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    return rooted.join(other, ["band", "key"]).filter((F.col("root") < F.col("root_b")) & _alike_in_size("size", "size_b")).select(F.col("node").alias("a"), "b")
+
+
 def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """The documents, all columns, of which no smaller doc_id is linked; one row of each doc_id.
 
-    Equal texts link, and candidates do whose five-word shingles are similar enough. Rows without a doc_id
-    can't stand for a group and all stay.
+    Equal texts link, and candidates do whose five-word shingles are similar enough. Candidates come from the
+    fingerprints and from buckets of overlapping shingles: along a few chains at first, and then all pairs of a
+    bucket that are still apart. Rows without a doc_id can't stand for a group and all stay.
     """
     named = docs.filter("doc_id is not null").withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = materialise(named.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text")), "texts")
     only = texts.select("node", "text")
-    found = similar(only, _pairs(_fingerprint_pairs(only, scheme), "pairs"))
-    roots = connected(found)
+    members = _overlap_members(only)
+    first = _pairs(_fingerprint_pairs(only, scheme).unionByName(_chained(members)), "pairs")
+    found = similar(only, first)
+    rest = _pairs(_apart(members, connected(found)), "apart").join(first, ["a", "b"], "left_anti")
+    roots = connected(found.unionByName(similar(only, materialise(rest, "rest"))))
     groups = materialise(texts.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups")
     kept = materialise(groups.groupBy("root").agg(F.min("first").alias("__kept")).select("__kept").distinct(), "kept")
     once = named.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept", "__node").dropDuplicates(["doc_id"])

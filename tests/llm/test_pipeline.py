@@ -77,6 +77,17 @@ def test_near_copies_dropped_are_similar(stages):
     assert kept < sets.keys() and sets.keys() - kept <= near
 
 
+def test_near_copies_stage_by_similarity(stages):
+    """What stays is the smallest id of each component of all pairs at similarity 0.8."""
+    docs, made = stages[1]
+    sets = shingle_sets(docs.collect())
+    root = {i: i for i in sets}
+    for a, b in similar_pairs(sets):
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert sorted(r.doc_id for r in made.collect()) == sorted(set(root.values()))
+
+
 def test_secrets_stage(stages):
     docs, made = stages[2]
     before, after = ({r.doc_id: r for r in x.collect()} for x in (docs, made))

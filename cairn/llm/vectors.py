@@ -12,9 +12,9 @@ into groups. The work of a group is a grid of cells of bounded size (blocks of m
 askers), so a list may hold any share of all vectors. A cell sends on counts and a spanning forest of its
 links, never pairs. Of two groups only one is asked by the other's vectors, and a link counts for both ends.
 
-The index is fitted on a bounded sample (`Settings.sample`); every vector is indexed and asks. Null, zero
-and non-finite vectors, those that hold nulls, those of another length than most, and rows without an id
-link with nothing; such a row is its own component. Repeated ids count as separate vectors.
+Each length of vectors has an index of its own, fitted on a bounded sample (`Settings.sample`); every vector
+is indexed and asks. Null, zero and non-finite vectors, those that hold nulls, and rows without an id link
+with nothing; such a row is its own component. Repeated ids count as separate vectors.
 """
 
 from __future__ import annotations
@@ -222,18 +222,11 @@ def _grouped(sizes: np.ndarray, most: int) -> np.ndarray:
     return groups
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """``(id, n_links, component_id, kept)`` of every row."""
-    spark = df.sparkSession
-    marked = materialise(_keys(df, id_col, vector_col), "keys")
-    usual = marked.filter("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = usual["dim"] if usual else 0
-    alike = marked.filter(F.col("dim") == dim)
+def _linked(alike: DataFrame, dim: int, settings: Settings) -> DataFrame:
+    """``(key, n_links, component_id)`` of the distinct vectors among ``(id, key, vec)`` rows of one length."""
+    spark = alike.sparkSession
     distinct = materialise(alike.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "vectors")
     n = distinct.count()
-    if not n:
-        return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-
     sample = distinct.select("vec").orderBy(F.xxhash64("key")).limit(settings.sample).collect()
     packed = pickle.dumps(Index.fit(_unit(_vectors(pa.array([r["vec"] for r in sample], pa.binary()), dim)), n, settings))
     name, shared = hashlib.sha256(packed).hexdigest(), spark.sparkContext.broadcast(packed)
@@ -289,7 +282,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = distinct.select("key", "id", "copies").join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
-    known = materialise(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "known")
+    return materialise(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "known")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """``(id, n_links, component_id, kept)`` of every row."""
+    marked = materialise(_keys(df, id_col, vector_col), "keys")
+    dims = sorted(r["dim"] for r in marked.filter("dim is not null").select("dim").distinct().collect())
+    known = None
+    for dim in dims:
+        found = _linked(marked.filter(F.col("dim") == dim), dim, settings)
+        known = found if known is None else known.unionByName(found)
+    if known is None:
+        return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     out = marked.select("id", "key").join(known, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

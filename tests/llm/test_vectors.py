@@ -96,3 +96,10 @@ def test_crowd_over_more_lists_than_probes(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     many = dataclasses.replace(vectors.Settings(), per_list=60)
     check(vectors.near_duplicates(df, settings=many).collect(), brute(ids, x))
+
+
+def test_each_length_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4)]

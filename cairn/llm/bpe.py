@@ -57,6 +57,9 @@ class Vocabulary:
         if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout") or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE without normalizer, dropout or ignored merges is supported")
         as_bytes = lambda s: bytes(map(alphabet.__getitem__, s))
+        before, after = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or after.get("type") != "ByteLevel":
+            raise ValueError("only byte-level pre-tokenizers and decoders without a prefix space are supported")
         n = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         tokens: list[bytes | None] = [None] * n
         for text, i in model["vocab"].items():
@@ -317,6 +320,12 @@ class _Shared:
         return self._held.value
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def load(spark: SparkSession, path: str) -> _Shared:
     """Read a vocabulary file on the driver and broadcast it (bounded by the vocabulary: a few MB)."""
     with open(path, encoding="utf-8") as f:

@@ -2,17 +2,18 @@
 
 A record's fingerprint is the SHA-256 of its sorted nested field paths (``messages[].role``). A
 typed DataFrame has one, taken from its schema; a column of JSON strings has one a row, taken from
-the value's own schema. The fingerprint selects a `Mapping`, which says where turns are; every
-layout becomes rows ``(conv_id, ord, role, text)``, and one template renders those.
+the value's own schema. The fingerprint selects a `Mapping`, which says where turns are; where there are more
+fields than a layout has, the fingerprint of those that a mapping names does, the mapping of most paths first, and
+of as many the one listed first. Every layout becomes rows ``(conv_id, ord, role, text)``, and one template renders those.
 
 The template marks each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts
 ``&``, ``<`` and ``[`` (and line ends in roles) are written as entities, so that no control string
 can come from a text, and `unescape` gives the text back.
 
 Defined results: null roles and texts are empty; turns sort by order, role and text, nulls first;
-repeated turns all stay; a record whose fingerprint no mapping has, or that isn't JSON, is kept with
+repeated turns all stay; a record that holds no mapping's paths, or that isn't JSON, is kept with
 ``layout`` null and without turns by `layouts`, and yields no turn rows; empty inputs give empty
-results; columns that no mapping names are left alone. All of it is built from SQL functions.
+results; other columns and fields are left alone. All of it is built from SQL functions.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.frames import fresh
+
 #: Roles of other layouts, by the canonical name.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: What `escape` writes, in this order; `unescape` undoes it in the reverse order.
@@ -54,6 +57,7 @@ class Mapping:
 
 
 MAPPINGS = (
+    Mapping("turn_rows", rows=("turn", "role", "text")),
     Mapping("prompt_completion", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("system_prompt_response", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -62,7 +66,6 @@ MAPPINGS = (
     Mapping("instruction_input", fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("messages", items=("messages", "role", "content")),
     Mapping("conversations", items=("conversations", "from", "value")),
-    Mapping("turn_rows", rows=("turn", "role", "text")),
 )
 
 
@@ -95,8 +98,12 @@ def json_paths(record: Column) -> Column:
     return F.when(value.isNotNull() & top.isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.transform(top, nested)))))
 
 
+def _digested(paths: Column) -> Column:
+    return F.sha2(F.array_join(paths, "\n"), 256)
+
+
 def json_fingerprint(record: Column) -> Column:
-    return F.sha2(F.array_join(json_paths(record), "\n"), 256)
+    return _digested(json_paths(record))
 
 
 def _role(name: Column) -> Column:
@@ -124,13 +131,15 @@ def _joined(mapping: Mapping, value) -> Column:
 def layouts(df: DataFrame, record_col: str, mappings: Sequence[Mapping] = MAPPINGS, out_prefix: str = "") -> DataFrame:
     """Add the fingerprint, layout and canonical ``turns`` of each JSON record."""
     fp, layout, turns = (f"{out_prefix}{x}" for x in ("fingerprint", "layout", "turns"))
-    out = df.withColumn(fp, json_fingerprint(F.col(record_col)))
+    (paths,) = fresh(df, f"{out_prefix}paths")
+    out = df.withColumn(paths, json_paths(F.col(record_col))).withColumn(fp, _digested(F.col(paths)))
     name, made = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for m in mappings:
-        if not m.rows:
-            name = F.when(F.col(fp) == m.fingerprint(), F.lit(m.name)).otherwise(name)
-            made = F.when(F.col(fp) == m.fingerprint(), _from_json(F.col(record_col), m)).otherwise(made)
-    return out.withColumns({layout: name, turns: made})
+    for m in sorted((m for m in reversed(mappings) if not m.rows), key=lambda m: len(m.paths())):
+        own = F.array_sort(F.array_intersect(F.col(paths), F.array(*map(F.lit, m.paths()))))
+        fits = _digested(own) == m.fingerprint()
+        name = F.when(fits, F.lit(m.name)).otherwise(name)
+        made = F.when(fits, _from_json(F.col(record_col), m)).otherwise(made)
+    return out.withColumns({layout: name, turns: made}).drop(paths)
 
 
 def _explode(df: DataFrame, conv_col: str, turns: Column) -> DataFrame:
@@ -144,14 +153,12 @@ def json_turns(df: DataFrame, conv_col: str, record_col: str, mappings: Sequence
 
 
 def frame_turns(df: DataFrame, conv_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """Canonical turn rows of a typed table; its schema, without the id and any column no mapping
-    knows, selects the mapping."""
-    known = {p.split("[")[0].split(".")[0] for m in mappings for p in m.paths()}
-    fields = [f for f in df.schema.fields if f.name != conv_col and f.name in known]
-    fp = digest([p for f in fields for p in schema_paths(f.dataType, f.name)])
-    mapping = next((m for m in mappings if m.fingerprint() == fp), None)
+    """Canonical turn rows of a typed table; its schema, without the id, selects the mapping."""
+    paths = {p for f in df.schema.fields if f.name != conv_col for p in schema_paths(f.dataType, f.name)}
+    fitting = [m for m in mappings if digest(sorted(paths & set(m.paths()))) == m.fingerprint()]
+    mapping = max(fitting, key=lambda m: len(m.paths()), default=None)  # of equal ones the first
     if mapping is None:
-        raise ValueError(f"no mapping for the field paths {[f.name for f in fields]} (fingerprint {fp})")
+        raise ValueError(f"no mapping for the field paths {sorted(paths)} (fingerprint {digest(sorted(paths))})")
     if mapping.rows:
         order, role, text = mapping.rows
         return df.select(F.col(f"`{conv_col}`").cast("bigint").alias("conv_id"), F.col(order).cast("bigint").alias("ord"), F.col(role).alias("role"), F.col(text).alias("text"))

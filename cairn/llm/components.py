@@ -3,7 +3,8 @@
 Every round, each node points at its smallest neighbour if that is smaller than itself; pointers are
 followed to their ends; links are rewritten between the ends, and those inside one group go. Rounds
 are few (each at least halves the nodes of what is left that aren't local minima), every step is a
-join or an aggregate with partial sums, and each round ends in a table in the shared folder.
+join or an aggregate with partial sums, and each round ends in a table in the shared folder. Rounds' pointers
+are put together at the end.
 """
 
 from __future__ import annotations
@@ -31,22 +32,23 @@ def connected(links: DataFrame) -> DataFrame:
     A node that only links to itself is its own root. No links give no rows.
     """
     links = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    labels = None
+    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    nodes, rounds = None, []
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        hooks = materialise(nearest.filter("to < node"), "hooks")
-        if labels is None:
-            nodes = nearest.select("node", F.least("node", "to").alias("root"))
-            labels = nodes
+        nearest = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")), "nearest")
+        nodes = nearest if nodes is None else nodes
+        hooks = nearest.filter("to < node")
         if hooks.isEmpty():
-            return labels
+            break
         ends = _ends(hooks)
-        at = ends.select(F.col("node").alias("__n"), F.col("to").alias("__to"))
-        labels = materialise(labels.join(at, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__to", "root").alias("root")), "labels")
+        rounds.append(at := ends.select(F.col("node").alias("__n"), F.col("to").alias("__to")))
         for end in ("a", "b"):
             links = links.join(at, F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("__to", end)).select("a", "b")
-        links = materialise(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        links = materialise(links.filter("a != b"), "links")
         if links.isEmpty():
-            return labels
+            break
+    found = nodes.select("node", F.col("node").alias("root"))
+    for at in rounds:
+        found = found.join(at, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__to", "root").alias("root"))
+    return found

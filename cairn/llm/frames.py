@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt out over the cores: a small file of one row group
-    would otherwise be one task. Larger scans, which have more splits, are left as they are."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as keep it apart from the frame's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def map_columns(
@@ -58,18 +62,61 @@ def map_columns(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the session names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
-    return context.getCheckpointDir()
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``, or where the session names
+    none, one in its warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+
+
+class _Scratch:
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that outlives the block."""
+        out = materialise(df, name)
+        self.kept.add(self.made[-1])
+        return out
+
+
+_scratch: ContextVar[_Scratch | None] = ContextVar("scratch", default=None)
+
+
+def drop_table(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where) if at_exit else fs.delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[_Scratch]:
+    """Tables written within go when the block ends, but for those that are kept; they go with an outer block or
+    with the session."""
+    own, outer = _Scratch(spark), _scratch.get()
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for path in own.made:
+            if path not in own.kept:
+                drop_table(spark, path)
+            elif outer is not None:
+                outer.made.append(path)
+            else:
+                drop_table(spark, path, at_exit=True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _scratch.get()) is not None:
+        own.made.append(path)
+    else:
+        drop_table(spark, path, at_exit=True)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(column: str = "text"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 from cairn.llm.frames import map_columns
 
 
+#: Longer words (runs without white space, as in scripts that don't use it) count as their overlapping character n-grams.
+LONGEST_WORD, LONG_GRAM = 64, 4
+
+
+def pieces(words: Iterable[str]) -> Iterator[str]:
+    """The words, each longer one as its character n-grams; so what a memo holds of them is bounded."""
+    for word in words:
+        if len(word) <= LONGEST_WORD:
+            yield word
+        else:
+            for i in range(len(word) - LONG_GRAM + 1):
+                yield word[i : i + LONG_GRAM]
+
+
 def stable_hash(text: str) -> int:
     """32 bits that don't depend on the process."""
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
@@ -125,7 +139,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
 
 
 def collect_features(sample: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], label: str, extra: Callable[[str], list[int]] | None = None) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """Each sampled text's features (and ``extra`` facts), made on the executors; the sample is bounded, and so is this."""
+    """Each sampled text's features (and ``extra`` facts), made on the executors. Rows of one id and label count
+    once (of different texts the one whose features hash highest), so what is collected is bounded as the sample is."""
 
     def kernel():
         features = make()
@@ -136,8 +151,9 @@ def collect_features(sample: DataFrame, make: Callable[[], Callable[[str], np.nd
 
         return run
 
-    rows = map_columns(sample, ["text"], "features binary, facts array<int>", kernel, [label, "doc_id"]).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r[label], bytes(r["features"])))
+    made = map_columns(sample, ["text"], "features binary, facts array<int>", kernel, [label, "doc_id"])
+    once = made.groupBy("doc_id", label).agg(F.max(F.struct(F.xxhash64("features").alias("h"), "features", "facts")).alias("x"))
+    rows = sorted(once.select("doc_id", label, "x.features", "x.facts").collect(), key=lambda r: (r["doc_id"], r[label]))
     found = Rows(np.frombuffer(r["features"], "<i4") for r in rows)
     return found, np.array([r[label] for r in rows], "i8"), np.array([r["facts"] for r in rows], "i8").reshape(len(rows), -1 if rows else 0)
 

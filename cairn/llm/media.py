@@ -1,13 +1,14 @@
 """ISO media containers (ISO/IEC 14496-12): box walking and sample tables, no payload decoding.
 
-``probe`` reads nested boxes and sample tables of each binary value and stores the codec, the
-duration and the byte ranges of keyframes. ``mux`` stores bytes losslessly as 8-bit samples of one
+``probe`` reads nested boxes and sample tables of each binary value, those of movie fragments too, and
+stores the codec, the duration and the byte ranges of keyframes. ``mux`` stores bytes losslessly as 8-bit samples of one
 raw audio track; ``payload`` reads a track's stored bytes back through its sample table.
 
 Defined results: null or empty values, values that aren't such containers and truncated or
 inconsistent tables give a row with ``error`` set and no tracks; a track without a sync table has
 every sample as a keyframe; a container with no tracks gives none. Only tables that the
-container's own bytes can back are expanded, so memory is bounded by the value itself.
+container's own bytes can back are expanded, so memory is bounded by the value itself. A fragmented track's
+duration is that of its tables and its fragments' samples together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from cairn.llm.frames import map_columns
 
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 #: How `mux` lays out its track: bytes a sample, samples a chunk, samples from one keyframe to the next, samples a second.
 UNIT, CHUNK, KEY_EVERY, RATE = 64, 32, 16, 8000
 MAX_DEPTH = 16
@@ -50,6 +51,8 @@ class Track:
     sync: np.ndarray | None = None
     stsc: np.ndarray | None = None
     chunks: np.ndarray | None = None
+    defaults: tuple[int, int, int] = (0, 0, 0)  # of fragments' samples: duration, size, flags
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = field(default_factory=list)  # offsets, sizes, whether sync, ticks
 
     def ranges(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and sizes of the samples numbered ``which`` (from 0), or of all."""
@@ -88,10 +91,76 @@ def _table(data: memoryview, at: int, end: int, row: str) -> np.ndarray:
     return np.frombuffer(data, kind, n, at + 8)
 
 
+#: Flags of the fragment boxes, and that of a sample that isn't a keyframe (fixed values).
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, FIRST_FLAGS, EACH = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+NOT_SYNC = 0x10000
+
+
+def _extends(data: memoryview, at: int, end: int, tracks: list[Track]) -> None:
+    """Defaults of a track's fragments (trex)."""
+    own, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+    for t in tracks:
+        if t.track_id == own:
+            t.defaults = duration, size, flags
+
+
+def _fragment(data: memoryview, moof: int, at: int, end: int, tracks: list[Track], after: int) -> int:
+    """One track's fragment (traf): its runs' samples. Returns where its data end, which is where the next track's
+    begin if nothing says otherwise."""
+    track, base, defaults = None, moof, (0, 0, 0)
+    for kind, a, b in boxes(data, at, end):
+        if kind == b"tfhd":
+            flags, own = struct.unpack_from(">II", data, a)
+            flags &= 0xFFFFFF
+            track = next((t for t in tracks if t.track_id == own), None)
+            if track is None:
+                raise Malformed("a fragment's track isn't there")
+            a, values, base = a + 8, list(track.defaults), moof if flags & BASE_IS_MOOF else after
+            if flags & BASE_OFFSET:
+                base, a = struct.unpack_from(">Q", data, a)[0], a + 8
+            a += 4 * bool(flags & DESCRIPTION)
+            for i, bit in enumerate((DURATION, SIZE, FLAGS)):
+                if flags & bit:
+                    values[i], a = struct.unpack_from(">I", data, a)[0], a + 4
+            defaults, after = tuple(values), base
+        elif kind == b"trun":
+            if track is None:
+                raise Malformed("a run without its fragment's header")
+            flags, n = struct.unpack_from(">II", data, a)
+            flags, a, first = flags & 0xFFFFFF, a + 8, None
+            if flags & RUN_OFFSET:
+                after, a = base + struct.unpack_from(">i", data, a)[0], a + 4
+            if flags & FIRST_FLAGS:
+                first, a = struct.unpack_from(">I", data, a)[0], a + 4
+            held = [bit for bit in EACH if flags & bit]
+            if a + 4 * n * len(held) > b or not held and n * max(1, defaults[1]) > len(data):
+                raise Malformed("table is cut off")
+            table = dict(zip(held, np.frombuffer(data, ">u4", n * len(held), a).reshape(n, len(held)).T.astype("i8"), strict=True))
+            duration, sizes, kinds = (table.get(bit, np.full(n, default, "i8")) for bit, default in zip(EACH, defaults, strict=False))
+            if first is not None and n:
+                kinds = kinds.copy()
+                kinds[0] = first
+            track.runs.append((after + np.cumsum(sizes) - sizes, sizes, (kinds & NOT_SYNC) == 0, int(duration.sum())))
+            after += int(sizes.sum())
+    return after
+
+
 def _walk(data: memoryview, start: int, end: int, tracks: list[Track], depth: int = 0) -> None:
     if depth > MAX_DEPTH:
         raise Malformed("boxes are nested too deeply")
+    at_box = start
     for kind, at, to in boxes(data, start, end):
+        here, at_box = at_box, to
+        if kind == b"moof":
+            after = here
+            for inner, a, b in boxes(data, at, to):
+                if inner == b"traf":
+                    after = _fragment(data, here, a, b, tracks, after)
+            continue
+        if kind == b"trex":
+            _extends(data, at, to, tracks)
+            continue
         if kind == b"trak":
             tracks.append(Track())
         if kind in CONTAINERS:
@@ -135,11 +204,28 @@ def _walk(data: memoryview, start: int, end: int, tracks: list[Track], depth: in
             tracks[-1].sync = _table(data, at, to, ">u4").astype("i8") - 1
 
 
+def _joined(track: Track, length: int) -> None:
+    """The samples of the tables, followed by those of the fragments."""
+    if not track.runs:
+        return
+    n = track.n_samples
+    at, sizes = track.ranges()
+    sync = np.arange(n) if track.sync is None else track.sync
+    parts, places, ticks = [], n, 0
+    for offsets, own, key, ran in track.runs:
+        if len(own) and ((offsets < 0).any() or (offsets + own > length).any()):
+            raise Malformed("samples reach beyond the file")
+        parts.append(np.flatnonzero(key) + places)
+        places, ticks = places + len(own), ticks + ran
+    track.offsets, track.sizes = (np.concatenate([x, *[r[k] for r in track.runs]]).astype("i8") for k, x in enumerate((at, sizes)))
+    track.sync, track.n_samples, track.duration = np.concatenate([sync, *parts]).astype("i8"), places, (track.duration if n else 0) + ticks
+
+
 def _place(track: Track, length: int) -> None:
     """Sample offsets from the chunk tables."""
     n = track.n_samples
     if not n:
-        track.offsets, track.sync = np.empty(0, "i8"), np.empty(0, "i8")
+        track.offsets, track.sync, track.sizes = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
         return
     if track.chunks is None or track.stsc is None or not len(track.stsc):
         raise Malformed("sample table is incomplete")
@@ -169,6 +255,7 @@ def parse(value: bytes | None) -> list[Track]:
         _walk(data, 0, len(data), tracks)
         for t in tracks:
             _place(t, len(data))
+            _joined(t, len(data))
     except (struct.error, IndexError) as e:
         raise Malformed("box is cut off") from e
     return tracks

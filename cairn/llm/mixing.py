@@ -14,7 +14,9 @@ over many tasks. All of it is built from DataFrame functions.
 
 Defined results: a null language or source is a leaf of its own (``?``); null texts have no tokens;
 documents without tokens always fit; rows of a leaf whose place ties, as those of one doc_id do, come and go together;
-a domain, language or source without weight has the default one; empty inputs give no rows.
+a domain, language or source without a stated weight has the default one; what has weight 0, and all below it, is
+shut out, and its share goes to its siblings; empty inputs give no rows. A token here is a word between ASCII white
+space, which SQL counts; `cutoffs` takes any other count as a column.
 """
 
 from __future__ import annotations
@@ -69,10 +71,10 @@ def share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     its ``capacity``: adds ``given``. ``name`` settles ties.
 
     Sorted by capacity over weight, the children that are filled come first; the others split what
-    those leave, rounded down.
+    those leave, rounded down. A child of weight 0 has capacity 0 (see `budgets`) and is filled with that.
     """
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("capacity") / F.col("weight"), name)
+    order = by.orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(0.0), name)
     used = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     still = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     out = nodes.withColumns({"__used": used, "__open": still})
@@ -89,21 +91,26 @@ LEAF = ["domain", "language", "origin"]
 
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
-    """Add ``given``, the leaf's token budget, to ``(domain, language, origin, tokens, ...)`` rows."""
+    """Add ``given``, the leaf's token budget, and ``open``, whether all its weights are above 0, to
+    ``(domain, language, origin, tokens, ...)`` rows."""
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     levels = (("domain", plan.domains), ("language", plan.languages), ("origin", plan.sources))
+    open_ = F.lit(True)
+    for name, weights in levels:
+        open_ = open_ & (_weight(name, weights, plan.default) > 0)
+    leaves = leaves.withColumn("open", open_).withColumn("__room", F.when(F.col("open"), F.col("tokens") * plan.max_epochs).otherwise(0))
     above: DataFrame | None = None
     for depth, (name, weights) in enumerate(levels):
         parent = LEAF[:depth]
         if depth < 2:
-            nodes = leaves.groupBy(*parent, name).agg((F.sum("tokens") * plan.max_epochs).alias("capacity"))
+            nodes = leaves.groupBy(*parent, name).agg(F.sum("__room").alias("capacity"))
         else:
-            nodes = leaves.withColumn("capacity", F.col("tokens") * plan.max_epochs)
+            nodes = leaves.withColumn("capacity", F.col("__room"))
         nodes = nodes.withColumn("weight", _weight(name, weights, plan.default))
         nodes = nodes.withColumn("budget", F.lit(total * plan.budget_permille // 1000).cast("bigint")) if above is None else nodes.join(above, parent)
         shared = share(nodes, parent, name)
         above = shared.select(*parent, name, F.col("given").alias("budget"))
-    return shared.drop("capacity", "weight", "budget")
+    return shared.drop("capacity", "weight", "budget", "__room")
 
 
 def _order(plan: Plan, epoch: Column, doc_id: Column) -> Column:
@@ -129,7 +136,7 @@ def cutoffs(docs: DataFrame, plan: Plan, tokens: Column | None = None) -> tuple[
     narrow = materialise(docs.select("doc_id", *leaf_columns(plan), tokens.alias("n_tokens")), "narrow")
     leaves = materialise(narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "leaves")
     given = budgets(leaves, plan)
-    whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(1)
+    whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.col("open").cast("int"))
     given = given.withColumn("whole", whole).withColumns({"rest": F.col("given") - F.col("whole") * F.col("tokens"), "ranges": F.ceil(F.col("n_docs") / RANGE_DOCS)})
     given = materialise(given.select(*LEAF, "whole", "rest", "ranges"), "budgets")
 

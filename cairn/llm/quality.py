@@ -6,7 +6,8 @@ fitted on margins of rows that a model hasn't seen, gives scores from 0 to 1.
 
 The model is fitted on a bounded sample of labelled rows (``Settings.most_rows``); every text is
 scored, whole. A null text is the empty one, whose score is that of the bias alone. With labels of
-one class only, or none, every score is that class's (smoothed) rate. Only the text enters a score.
+one class only, or none, every score is that class's (smoothed) rate. Only the text enters a score. Words of
+more than 64 characters count as their character 4-grams.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import operator
 import pickle
+import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +39,30 @@ class Settings:
     folds: int = 3
 
 
-MEMO_WORDS, LONGEST_WORD, SLICE_WORDS = 200_000, 64, 1 << 17
+MEMO_WORDS, SLICE_WORDS, LONG_TEXT = 200_000, 1 << 17, 1 << 22
+_WORD = re.compile(r"\S+")
 
 
 def shape(word: str) -> str:
     """Runs of upper and lower case, digits and other letters as one sign each; other characters as they are."""
     out = []
-    for ch in word[:LONGEST_WORD]:
+    for ch in word:
         kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
         if not out or out[-1] != kind or not kind.isalnum():
             out.append(kind)
         elif len(out) < 2 or out[-2] != kind:
             out.append(kind)  # one and many differ
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class Features:
-    """The hashed n-grams of a text: words and word pairs, and shapes, pairs and triples of shapes, in
-    which a word that repeats the one before has a shape of its own."""
+    """The hashed n-grams of a whole text: words and word pairs, and shapes, pairs and triples of shapes, in
+    which a word that repeats the one before has a shape of its own. Texts are worked through in slices, which
+    changes nothing."""
 
     def __init__(self, bits: int):
         self.mask = np.uint64((1 << bits) - 1)
-        self.memo = linear.TwoGenerations(lambda w: linear.stable_hash("s" + shape(w)) << 32 | linear.stable_hash("w" + w[:LONGEST_WORD]), MEMO_WORDS)
+        self.memo = linear.TwoGenerations(lambda w: linear.stable_hash("s" + shape(w)) << 32 | linear.stable_hash("w" + w), MEMO_WORDS)
         self.repeat = np.uint64(linear.stable_hash("repeat"))
 
     def _mix(self, codes: np.ndarray, kind: int) -> np.ndarray:
@@ -67,18 +72,24 @@ class Features:
         return (x >> np.uint64(32)) & self.mask
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        parts = [self._slice(words[at : at + SLICE_WORDS + 2]) for at in range(0, len(words), SLICE_WORDS)]
+        words = linear.pieces(text.split() if len(text) < LONG_TEXT else (m[0] for m in _WORD.finditer(text)))
+        parts, before = [], []
+        while some := list(islice(words, SLICE_WORDS)):
+            parts.append(self._slice([*before, *some], len(before) == 3))
+            before = [*before, *some][-3:]  # two that begin n-grams, and the one that the first of them may repeat
         if not parts:
             return np.empty(0, "i8")
         return (parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))).astype("i8")
 
-    def _slice(self, words: list[str]) -> np.ndarray:
+    def _slice(self, words: list[str], inner: bool) -> np.ndarray:
+        """The n-grams of the words; of an inner slice the first word is only what the next may repeat."""
         n = len(words)
         both = np.fromiter(map(self.memo.__getitem__, words), "u8", n)
         word, form = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
         if n > 1:
             form[1:][np.fromiter(map(operator.eq, words[1:], words), bool, n - 1)] = self.repeat
+        if inner:
+            word, form = word[1:], form[1:]
         wide, far = np.uint64(0x100000001B3), np.uint64(0xC2B2AE3D27D4EB4F)
         pairs = form[:-1] * wide + form[1:]
         grams = [self._mix(word, 1), self._mix(word[:-1] * wide + word[1:], 2), self._mix(form, 3), self._mix(pairs, 4), self._mix(pairs[:-1] * far + form[2:], 5)]

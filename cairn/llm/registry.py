@@ -7,23 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, media, mixing, quality, secrets, simhash, toxicity, unigram, vectors
-from cairn.llm.frames import read, spread
-
-
-def byte_bpe_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from cairn.llm import bpe, chat, media, mixing, pipeline, quality, secrets, simhash, toxicity, unigram, vectors
+from cairn.llm.frames import read
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
-    return bpe.round_trip(_texts(spark, sf_dir), bpe.load(spark, byte_bpe_path()), keep=["doc_id"])
+    return bpe.round_trip(_texts(spark, sf_dir), bpe.load(spark, bpe.default_path()), keep=["doc_id"])
 
 
 def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +51,7 @@ def _sql_weights(column: str, weights: dict[str, int], default: int) -> str:
 def _sql_share(level: str, columns: str, parent: str, name: str, weight: str, nodes: str) -> str:
     """The split of each parent's budget over its children, as common table expressions."""
     by = f"PARTITION BY {parent}" if parent else ""
-    order = f"{by} ORDER BY capacity / weight, {name}"
+    order = f"{by} ORDER BY CASE WHEN weight > 0 THEN capacity / weight ELSE 0 END, {name}"
     return f"""
 {level}_a AS (SELECT *, {weight} AS weight FROM ({nodes})),
 {level}_b AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
@@ -70,19 +64,21 @@ def _sql_share(level: str, columns: str, parent: str, name: str, weight: str, no
 def _op4_sql(plan: mixing.Plan) -> str:
     names = ", ".join(f"'{n}'" for n in plan.domains)
     word = "[^ \\t\\n\\x0B\\f\\r]+"
-    top = f"SELECT domain, sum(tokens)::BIGINT * {plan.max_epochs} AS capacity, (SELECT sum(tokens)::BIGINT FROM leaves) * {plan.budget_permille} // 1000 AS budget FROM leaves GROUP BY domain"
-    middle = f"SELECT l.domain, l.language, sum(l.tokens)::BIGINT * {plan.max_epochs} AS capacity, any_value(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.language"
-    bottom = f"SELECT l.*, l.tokens * {plan.max_epochs} AS capacity, g.given AS budget FROM leaves l JOIN languages g USING (domain, language)"
+    kept = " AND ".join(f"{_sql_weights(c, w, plan.default)} > 0" for c, w in (("domain", plan.domains), ("language", plan.languages), ("origin", plan.sources)))
+    top = f"SELECT domain, sum(room)::BIGINT AS capacity, (SELECT sum(tokens)::BIGINT FROM leaves) * {plan.budget_permille} // 1000 AS budget FROM leaves GROUP BY domain"
+    middle = f"SELECT l.domain, l.language, sum(l.room)::BIGINT AS capacity, any_value(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.language"
+    bottom = f"SELECT l.*, l.room AS capacity, g.given AS budget FROM leaves l JOIN languages g USING (domain, language)"
     place = f"('0x' || substr(md5(concat_ws(':', '{plan.seed}', whole::VARCHAR, doc_id::VARCHAR)), 1, {mixing.ORDER_BITS // 4}))::BIGINT"
     return f"""
 WITH narrow AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS n_tokens, coalesce(lang, '?') AS language, coalesce(source, '?') AS origin,
     list_extract([{names}], ('0x' || substr(md5(coalesce(source, '?')), 1, 4))::INT % {len(plan.domains)} + 1) AS domain FROM documents
-), leaves AS (SELECT domain, language, origin, sum(n_tokens)::BIGINT AS tokens FROM narrow GROUP BY ALL),
+), sums AS (SELECT domain, language, origin, sum(n_tokens)::BIGINT AS tokens FROM narrow GROUP BY ALL),
+leaves AS (SELECT *, {kept} AS open, CASE WHEN {kept} THEN tokens * {plan.max_epochs} ELSE 0 END AS room FROM sums),
 {_sql_share("domains", "domain", "", "domain", _sql_weights("domain", plan.domains, plan.default), top)},
 {_sql_share("languages", "domain, language", "domain", "language", _sql_weights("language", plan.languages, plan.default), middle)},
-{_sql_share("origins", "domain, language, origin, tokens", "domain, language", "origin", _sql_weights("origin", plan.sources, plan.default), bottom)},
-plan AS (SELECT *, CASE WHEN tokens > 0 THEN given // tokens ELSE 1 END AS whole FROM origins),
+{_sql_share("origins", "domain, language, origin, tokens, open", "domain, language", "origin", _sql_weights("origin", plan.sources, plan.default), bottom)},
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN given // tokens ELSE open::INT END AS whole FROM origins),
 placed AS (SELECT n.*, whole, given - whole * tokens AS rest, {place} AS place FROM narrow n JOIN plan USING (domain, language, origin)),
 reached AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place) AS reach FROM placed),
 counted AS (SELECT *, whole + CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END AS taken FROM reached)
@@ -124,18 +120,19 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER () AS n FROM embeddings
+), v AS (
+  SELECT * FROM e
+  WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
-), reach(a, b) AS (
-  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-), roots AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+  SELECT a.n AS a, b.n AS b, b.vec_id AS id FROM v a JOIN v b ON a.n <> b.n AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), reach(a, b, id) AS (
+  SELECT a, b, id FROM links UNION SELECT r.a, l.b, l.id FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(id) AS low FROM reach GROUP BY a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(r.low, e.vec_id)) AS component_id,
-  e.vec_id = least(e.vec_id, coalesce(r.low, e.vec_id)) AS kept
-FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN roots r ON r.a = e.vec_id
+  coalesce(e.vec_id = least(e.vec_id, coalesce(r.low, e.vec_id)), true) AS kept
+FROM e LEFT JOIN counts c ON c.a = e.n LEFT JOIN roots r ON r.a = e.n
 """
 
 
@@ -174,9 +171,7 @@ QUERIES = (op1_bpe_round_trip, op2_quality_nbsvm, op3_secret_scan, op4_mix_sourc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline  # which itself uses this module
-
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in QUERIES}
+    return {"pipeline": pipeline.run} | {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns find assignments to secret-like names, access key ids and hexadecimal runs. Beyond
-those, every run of token characters that holds none of them is scored by two character bigram
-models, one of random strings and one of ordinary identifiers, both trained from labelled samples;
-a run whose log-likelihood ratio per character reaches a threshold is a span of kind ``markov``.
+those, every run of token characters, or what is left of it before, between and after them, is scored
+by two character bigram models, one of random strings and one of ordinary identifiers, both trained from
+labelled samples; one whose log-likelihood ratio per character reaches a threshold is a span of kind
+``markov``. Rules, digits, formulas and other runs that neither model knows are left alone: a span has
+`LEAST_DISTINCT` different characters, a stretch of `LEAST_STRETCH` letters and digits, and characters of two
+classes at least.
 All of it is built from SQL functions: a scan is one pass without any shuffle.
 
 Defined results: a null text scans as the empty one and stays null when redacted; positions are
@@ -18,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.frames import fresh
+
 #: The base patterns (fixed values), and the least length of the group that decides; failing matches are dropped.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # of 18 or more: a shorter run has no longer match within it
@@ -26,6 +31,7 @@ LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "markov")
 #: Runs of token characters that the models score, and what ends up as one symbol each.
 RUN_CHARS, LEAST_RUN = "A-Za-z0-9+/_=-", 20
+LEAST_DISTINCT, LEAST_STRETCH = 8, 10
 ALPHABET = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_.=-"
 #: Least log-likelihood ratio per character, in nats.
 THRESHOLD = 0.6
@@ -50,10 +56,10 @@ transaction transfer tree type unique update upload user validation value variab
 widget width window worker writer
 gemeinschaft geschwindigkeit verantwortung wirtschaftlich entscheidung berechtigung zusammenarbeit einrichtung
 versicherung wissenschaft schreibtisch zeitschrift krankenhaus entwicklung freundlichkeit lichtgeschwindigkeit
-gouvernement développement environnement appartement malheureusement connaissance enseignement bibliotheque
+gouvernement environnement appartement malheureusement connaissance enseignement bibliotheque
 aujourd mouvement naturellement beaucoup longtemps quelquefois maintenant generalement peut etre
 desarrollo informacion responsabilidad aproximadamente universidad conocimiento generalmente comunicacion
-posibilidad seguridad empresarial rapidamente organizacion entonces siempre también nuestra""".split()
+posibilidad seguridad empresarial rapidamente organizacion entonces siempre nuestra""".split()
 
 
 def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -67,8 +73,8 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         .when(kind == 2, F.upper(F.regexp_replace(coded, "[^A-Za-z0-9]", "")))
         .otherwise(F.translate(coded, "+/", "-_"))
     )
-    words = F.array(*[F.lit(w) for w in WORDS if w.isascii()])
-    word = lambda i: F.element_at(words, pick(f"word{i}", sum(w.isascii() for w in WORDS)) + 1)
+    words = F.array(*map(F.lit, WORDS))
+    word = lambda i: F.element_at(words, pick(f"word{i}", len(WORDS)) + 1)
     chosen = F.slice(F.array(*[word(i) for i in range(5)]), F.lit(1), 2 + pick("count", 4))
     style = pick("style", 6)
     named = (
@@ -148,19 +154,39 @@ def _ratio(run: Column, table: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"]) / (F.length(run) - 1)
 
 
+def _scored(run: Column) -> Column:
+    """Whether the models are asked: a run of token characters with the variety that a secret has."""
+    classes = sum(run.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    return run.rlike(f"^[{RUN_CHARS}]{{{LEAST_RUN},}}$") & run.rlike(f"[A-Za-z0-9]{{{LEAST_STRETCH},}}") & (classes > 1) & (F.size(F.array_distinct(F.split(run, ""))) >= LEAST_DISTINCT)
+
+
+def _between(m: Column, pattern: str) -> Column:
+    """What a located match holds before, between and after the pattern's own matches in it."""
+    found, pieces = F.regexp_extract_all(m["match"], F.lit(pattern), 0), F.split(m["match"], pattern, -1)
+
+    def placed(ps: Column) -> Column:
+        sizes = F.zip_with(ps, found, lambda p, f: (F.length(p) + F.coalesce(F.length(f), F.lit(0))).cast("bigint"))
+        start = lambda at: m["start"] + at
+        return F.zip_with(running(sizes), ps, lambda at, p: F.struct(start(at).alias("start"), (start(at) + F.length(p)).alias("end"), p.alias("match")))
+
+    return let(pieces, placed)
+
+
 def scan(df: DataFrame, model: list[float], text_col: str = "text", out_col: str = "secret_spans", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``array<struct<kind,start,end>>``, sorted by start and then by kind as listed."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # An assignment uses up its text, so that a run is what lies outside of it.
     runs = f"{ASSIGN}|[{RUN_CHARS}]{{{LEAST_RUN},}}"
     finds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": runs}
-    out = df.withColumns({f"__{k}": F.regexp_extract_all(text, F.lit(p), 0) for k, p in finds.items()})
+    columns = dict(zip(finds, fresh(df, *(f"__{k}" for k in finds)), strict=True))
+    out = df.withColumns({columns[k]: F.regexp_extract_all(text, F.lit(p), 0) for k, p in finds.items()})
     table = F.lit(model)
     none = F.array().cast("array<struct<rank:int,start:bigint,end:bigint>>")
 
-    def spans(rank: int, kind: str, keep) -> Column:
-        found = F.col(f"__{kind}")
-        hits = F.filter(_located(text, finds[kind], found), keep)
+    def spans(rank: int, kind: str, keep, parts=None) -> Column:
+        found = F.col(columns[kind])
+        located = _located(text, finds[kind], found)
+        hits = F.filter(located if parts is None else F.flatten(F.transform(located, parts)), keep)
         return F.when(F.size(found) > 0, F.transform(hits, lambda m: F.struct(F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end")))).otherwise(none)
 
     value = lambda m: F.regexp_extract(m["match"], ASSIGN, 2)
@@ -169,12 +195,12 @@ def scan(df: DataFrame, model: list[float], text_col: str = "text", out_col: str
         spans(0, "assign", lambda m: F.length(value(m)) >= LEAST_VALUE),
         spans(1, "access", lambda m: F.lit(True)),
         spans(2, "hex", lambda m: F.lit(True)),
-        spans(3, "run", lambda m: F.when(m["match"].rlike(base) | ~m["match"].rlike(f"^[{RUN_CHARS}]*$"), F.lit(False)).otherwise(_ratio(m["match"], table) >= threshold)),
+        spans(3, "run", lambda m: F.when(~_scored(m["match"]), F.lit(False)).otherwise(_ratio(m["match"], table) >= threshold), lambda m: F.when(m["match"].rlike(base), _between(m, base)).otherwise(F.array(m))),
     )
     ordered = F.array_sort(F.transform(all_spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     names = F.array(*map(F.lit, KINDS))
     made = F.transform(ordered, lambda s: F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.withColumn(out_col, made).drop(*(f"__{k}" for k in finds))
+    return out.withColumn(out_col, made).drop(*columns.values())
 
 
 def written(spans: Column) -> Column:

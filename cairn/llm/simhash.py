@@ -24,11 +24,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import connected
-from cairn.llm.frames import map_columns, materialise
+from cairn.llm.frames import map_columns, materialise, scratch
 
 BITS, SHINGLE, SEED = 64, 3, 42
 #: Runs up to this length are compared together, longer ones each for itself; pairs a block.
@@ -36,11 +36,6 @@ SHORT_RUN, BLOCK = 512, 1 << 15
 #: Longer runs are first split by the bits their bucket leaves free.
 LONG_RUN = 1 << 14
 SLICE_WORDS = 1 << 18
-#: A document is a near copy of another if the shares of these word runs are as 4 of 5 at least.
-SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
-#: Buckets of each text by the least of so many hashes of its shingles: at similarity 0.8 two texts share none of
-#: them once in 300,000 pairs.
-OVERLAP_BANDS, OVERLAP_ROWS = 32, 5
 
 
 @dataclass(frozen=True)
@@ -66,9 +61,8 @@ class Scheme:
         return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint"))
 
 
-#: Links as near as the fixed definition has them; and further ones, for texts with more edits: most pairs whose
-#: five-word shingles are similar to 0.85 or more differ in six bits at most.
-CLOSE, WIDE = Scheme(), Scheme(6, (8,) * 8)
+#: Links as near as the fixed definition has them.
+CLOSE = Scheme()
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -103,8 +97,8 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerpr
 
 
 def planes(values: np.ndarray) -> list[int]:
-    """Bit planes: bit i of plane b is bit b of value i."""
-    bits = np.unpackbits(values.view("u1").reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes: bit i of plane b is bit b of value i, which may be of several words."""
+    bits = np.unpackbits(np.ascontiguousarray(values).view("u1").reshape(len(values), -1), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     return [int.from_bytes(row.tobytes(), "little") for row in packed]
 
@@ -161,11 +155,10 @@ class Forest:
             self.parent = up
 
 
-def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: Forest, base: np.ndarray, radius: int) -> None:
-    """Link all pairs up to last_k places apart (of one key, if keys are given)."""
+def near_pairs(values: np.ndarray, keys: np.ndarray | None, last_k: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``(i, j)`` of all pairs up to last_k places apart (of one key, if keys are given, which are sorted)
+    that differ in at most ``radius`` bits, some at a time."""
     n = len(values)
-    if keys is None and forest.one(base):
-        return
     for at in range(0, n, BLOCK):
         end = min(n, at + BLOCK + last_k)
         cut = planes(values[at:end])
@@ -180,9 +173,17 @@ def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: F
                 alive = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
             if found := within(cut, k, alive, radius):
                 i = _bits(found, m) + at
-                forest.join(base[i], base[i + k])
-                if keys is None and forest.one(base):
-                    return
+                yield i, i + k
+
+
+def _compare(values: np.ndarray, last_k: int, keys: np.ndarray | None, forest: Forest, base: np.ndarray, radius: int) -> None:
+    """Link all pairs up to last_k places apart (of one key, if keys are given)."""
+    if keys is None and forest.one(base):
+        return
+    for i, j in near_pairs(values, keys, last_k, radius):
+        forest.join(base[i], base[j])
+        if keys is None and forest.one(base):
+            return
 
 
 def _long_run(values: np.ndarray, base: np.ndarray, forest: Forest, free: tuple[int, ...], radius: int) -> None:
@@ -244,132 +245,12 @@ def links(distinct: DataFrame, fp_col: str = "fingerprint", scheme: Scheme = CLO
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, scheme: Scheme = CLOSE) -> DataFrame:
     """``(<id>, fingerprint, component_id)`` of every row."""
-    marked = materialise(fingerprints(docs.select(id_col, text_col), text_col, "fingerprint", size, [id_col]), "fingerprints")
-    distinct = materialise(marked.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "distinct")
-    roots = connected(links(distinct, scheme=scheme))
-    owned = distinct.join(roots, distinct["fingerprint"] == roots["node"])
-    smallest = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = materialise(owned.join(smallest, "root").select("fingerprint", "component_id"), "moved")
-    named = materialise(distinct.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id")), "named")
+    with scratch(docs.sparkSession) as tables:
+        marked = tables.keep(fingerprints(docs.select(id_col, text_col), text_col, "fingerprint", size, [id_col]), "fingerprints")
+        distinct = materialise(marked.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "distinct")
+        roots = connected(links(distinct, scheme=scheme))
+        owned = materialise(distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("fingerprint", "first", "root"), "owned")
+        smallest = owned.groupBy("root").agg(F.min("first").alias("component_id"))
+        moved = owned.join(smallest, "root").select("fingerprint", "component_id")
+        named = tables.keep(distinct.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id")), "named")
     return marked.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of the whole text."""
-    words = (text or "").encode().lower().split()
-    slices = range(0, max(1, len(words) - size + 1), SLICE_WORDS)
-    return np.unique(np.concatenate([shingle_hashes(words[at : at + SLICE_WORDS + size - 1], size) for at in slices]))
-
-
-def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those ``(a, b)`` pairs of ``(node, text)`` whose sets of shingles have a Jaccard similarity of `SIMILAR` at least."""
-
-    def sets(columns):
-        return [pa.array([shingle_set(t.as_py(), SIMILAR_SHINGLE).tobytes() for t in columns[0]], pa.binary())]
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    shingled = materialise(map_columns(texts.join(needed, "node", "left_semi"), ["text"], "shingles binary", lambda: sets, ["node"]), "shingles")
-    sided = pairs.join(shingled.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    sided = sided.join(shingled.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialise(sided.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "similar")
-
-
-def _pairs(df: DataFrame, name: str) -> DataFrame:
-    """Distinct pairs of two different nodes, the smaller first."""
-    return materialise(df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-
-
-def _fingerprint_pairs(texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Spanning candidates ``(a, b)`` among ``(node, text)``: texts of one fingerprint, and of linked ones."""
-    marked = materialise(fingerprints(texts, "text", "fingerprint", keep=["node"]), "fingerprints")
-    first = materialise(marked.groupBy("fingerprint").agg(F.min("node").alias("first")), "distinct")
-    same = marked.join(first, "fingerprint").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    ends = links(first, scheme=scheme)
-    for end in ("a", "b"):
-        ends = ends.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"first_{end}")), end)
-    return same.unionByName(ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-
-
-def overlap_buckets(shingles: np.ndarray) -> np.ndarray:
-    """`OVERLAP_BANDS` bucket keys; two sets share each with the power `OVERLAP_ROWS` of their Jaccard similarity."""
-    rng = np.random.default_rng(SEED)
-    n = OVERLAP_BANDS * OVERLAP_ROWS
-    odd, plus, mix = rng.integers(1 << 63, size=n, dtype="u8") * np.uint64(2) + np.uint64(1), rng.integers(1 << 63, size=n, dtype="u8"), np.uint64(0x9E3779B97F4A7C15)
-    least = np.full(n, np.iinfo("u8").max)
-    for at in range(0, len(shingles), 1024):
-        part = shingles[at : at + 1024]
-        least = np.minimum(least, ((part ^ part >> np.uint64(31)) * odd[:, None] + plus[:, None]).min(1))
-    keys = np.zeros(OVERLAP_BANDS, "u8")
-    for row in least.reshape(OVERLAP_BANDS, OVERLAP_ROWS).T:
-        keys = (keys ^ row) * mix
-        keys ^= keys >> np.uint64(29)
-    return keys.view("i8")
-
-
-def _alike_in_size(a: str, b: str) -> Column:
-    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
-
-
-def _overlap_members(texts: DataFrame) -> DataFrame:
-    """``(band, key, node, size)`` of buckets with two nodes or more, and each node's neighbours ``next_<i>`` and
-    their sizes ``size_<i>`` in three random orders of its bucket."""
-
-    def run(columns):
-        sets = [shingle_set(t.as_py(), SIMILAR_SHINGLE) for t in columns[0]]
-        return [pa.array([len(x) for x in sets], pa.int64()), pa.array([overlap_buckets(x) for x in sets], pa.list_(pa.int64()))]
-
-    marked = materialise(map_columns(texts, ["text"], "size bigint, keys array<bigint>", lambda: run, ["node"]), "buckets")
-    each = marked.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key")
-    chains = {}
-    for i in range(3):
-        order = bucket.orderBy(F.xxhash64("node", F.lit(i)), "node")
-        chains |= {f"next_{i}": F.lag("node").over(order), f"size_{i}": F.lag("size").over(order)}
-    within = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return materialise(each.withColumns(chains | {"of": F.count(F.lit(1)).over(within)}).filter("of > 1").drop("of"), "members")
-
-
-def _chained(members: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)`` in number proportional to the buckets' members."""
-    each = F.explode(F.array(*[F.struct(F.col(f"next_{i}").alias("b"), F.col(f"size_{i}").alias("of")) for i in range(3)]))
-    chained = members.select(F.col("node").alias("a"), "size", each.alias("next"))
-    return chained.filter(F.col("next.b").isNotNull() & _alike_in_size("size", "next.of")).select("a", F.col("next.b").alias("b"))
-
-
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)``: all pairs of a bucket's nodes that aren't in one component yet."""
-    rooted = members.join(roots, "node", "left").select("band", "key", "node", "size", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select("band", "key")
-    rooted = materialise(rooted.join(several, ["band", "key"], "left_semi"), "rooted")
-    other = rooted.select("band", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    return rooted.join(other, ["band", "key"]).filter((F.col("root") < F.col("root_b")) & _alike_in_size("size", "size_b")).select(F.col("node").alias("a"), "b")
-
-
-def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
-    """The documents, all columns, of which no smaller doc_id is linked; one row of each doc_id.
-
-    Equal texts link, and candidates do whose five-word shingles are similar enough. Candidates come from the
-    fingerprints and from buckets of overlapping shingles: along a few chains at first, and then all pairs of a
-    bucket that are still apart. Rows without a doc_id can't stand for a group and all stay.
-    """
-    named = docs.filter("doc_id is not null").withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = materialise(named.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text")), "texts")
-    only = texts.select("node", "text")
-    members = _overlap_members(only)
-    first = _pairs(_fingerprint_pairs(only, scheme).unionByName(_chained(members)), "pairs")
-    found = similar(only, first)
-    rest = _pairs(_apart(members, connected(found)), "apart").join(first, ["a", "b"], "left_anti")
-    roots = connected(found.unionByName(similar(only, materialise(rest, "rest"))))
-    groups = materialise(texts.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups")
-    kept = materialise(groups.groupBy("root").agg(F.min("first").alias("__kept")).select("__kept").distinct(), "kept")
-    once = named.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept", "__node").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null"))

@@ -2,7 +2,11 @@
 
 Categories are predicted one after another by linear models over word and word-stem indicators; each
 later model also sees the probabilities of the earlier categories. While training, those are
-out-of-fold: they come from models that haven't seen the row.
+out-of-fold: they come from models, and features chosen, that haven't seen the row. So do the probabilities
+that the threshold of the verdict is set from.
+
+The labels have one category only. The two before it are weak labels: a toxic text that has one of a few seed words
+(`SEEDS`). More than that about categories can't be had from these tables.
 
 The models are fitted on a bounded sample of labelled rows (``Settings.most_rows``), every text is
 judged, whole. A null text is the empty one, judged by the biases alone. With labels of one class only,
@@ -38,8 +42,9 @@ CHAIN = (*SEEDS, LABEL)
 class Settings:
     """``most_rows`` bounds the labelled sample; ``stems`` are the lengths of word beginnings that count as
     indicators; features are chosen by how unevenly the labels have them, ``most_features`` of those in at least
-    ``least_docs`` rows and ``least_share`` of all. ``threshold`` is set from held-out rows: with 6,000 rows of
-    clean labels, clean texts stay below 0.03 and toxic ones above 0.5."""
+    ``least_docs`` rows and ``least_share`` of all. ``threshold`` is where a text counts as toxic; None: where
+    the rows' out-of-fold probabilities tell the labels apart best, a share of clean rows above it weighing
+    ``clean_weight`` times as much as that of toxic rows below it (see `parted`)."""
 
     most_rows: int = 6000
     bits: int = 22
@@ -49,12 +54,17 @@ class Settings:
     most_features: int = 400
     folds: int = 3
     l2: float = 0.1
-    threshold: float = 0.3
+    threshold: float | None = None
+    clean_weight: float = 10.0
 
 
 MEMO_WORDS = 200_000
 
 
+def words_of(text: str) -> set[str]:
+    return set(linear.pieces(m[0] for m in WORD.finditer(text.lower())))
+
+
 class Words:
     """The hashed words and word stems of a text."""
 
@@ -62,13 +72,13 @@ class Words:
         mask, stems = (1 << settings.bits) - 1, settings.stems
 
         def hashed(word: str) -> tuple[int, ...]:
-            return tuple({linear.stable_hash("w" + word[:64]) & mask, *(linear.stable_hash(f"{n}{word[:n]}") & mask for n in stems if len(word) >= n)})
+            return tuple({linear.stable_hash("w" + word) & mask, *(linear.stable_hash(f"{n}{word[:n]}") & mask for n in stems if len(word) >= n)})
 
         self.memo = linear.TwoGenerations(hashed, MEMO_WORDS)
 
     def __call__(self, text: str) -> np.ndarray:
         found: set[int] = set()
-        found.update(*map(self.memo.__getitem__, set(WORD.findall(text.lower()))))
+        found.update(*map(self.memo.__getitem__, words_of(text)))
         return np.fromiter(found, "i8", len(found))
 
 
@@ -79,6 +89,7 @@ class Model:
     dense: list[np.ndarray]  # a category's weights of the earlier ones' probabilities
     bias: list[float]
     settings: Settings
+    threshold: float = 0.5
 
     def chain(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities from each category's sum of weights, in order."""
@@ -111,24 +122,47 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     n_steps = len(CHAIN)
     if len(set(toxic.tolist())) < 2:
         return Model(np.empty(0, "i8"), np.zeros((n_steps, 0)), [np.zeros(k) for k in range(n_steps)], [float(np.log(0.01 / 0.99))] * n_steps, settings)
-    features = _chosen(rows, toxic, settings)
-    number = np.full(1 << settings.bits, -1, "i8")
-    number[features] = np.arange(len(features))
-    rows, n = rows.only(number), len(features)
+    every, features, own, n = rows, *_reduced(rows, toxic, np.arange(len(toxic)), settings)
     fold = linear.folds(len(toxic), settings.folds)
+    parts = []
+    for f in range(settings.folds):
+        seen = np.flatnonzero(fold != f)
+        parts.append((seen, np.flatnonzero(fold == f), *_reduced(every, toxic, seen, settings)[1:]))
     earlier, weights, dense, bias = np.zeros((len(toxic), 0)), [], [], []
-    for k, y in enumerate(targets):
+    for y in targets:
         unseen = np.zeros(len(y))
-        for f in range(settings.folds if k + 1 < n_steps else 0):
-            seen, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            w, d, b = linear.logistic(rows.pick(seen), earlier[seen], y[seen], n, settings.l2)
-            unseen[held] = linear.sigmoid(rows.pick(held).dot(w) + earlier[held] @ d + b)
-        w, d, b = linear.logistic(rows, earlier, y, n, settings.l2)
+        for seen, held, reduced, n_own in parts:
+            w, d, b = linear.logistic(reduced.pick(seen), earlier[seen], y[seen], n_own, settings.l2)
+            unseen[held] = linear.sigmoid(reduced.pick(held).dot(w) + earlier[held] @ d + b)
+        w, d, b = linear.logistic(own, earlier, y, n, settings.l2)
         weights.append(w)
         dense.append(d)
         bias.append(b)
         earlier = np.column_stack([earlier, unseen])
-    return Model(features, np.array(weights), dense, bias, settings)
+    threshold = parted(earlier[:, -1], toxic, settings.clean_weight) if settings.threshold is None else settings.threshold
+    return Model(features, np.array(weights), dense, bias, settings, threshold)
+
+
+def _reduced(rows: linear.Rows, y: np.ndarray, seen: np.ndarray, settings: Settings) -> tuple[np.ndarray, linear.Rows, int]:
+    """The features that the seen rows choose, all rows with those only, and how many there are."""
+    features = _chosen(rows.pick(seen), y[seen], settings)
+    number = np.full(1 << settings.bits, -1, "i8")
+    number[features] = np.arange(len(features))
+    return features, rows.only(number), len(features)
+
+
+def parted(p: np.ndarray, y: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The threshold with the largest difference between the share of toxic rows above it and the weighted share of
+    clean ones, in the middle (by log-odds) of the gap that it lies in; at least 0.05, so that no score near none
+    rejects a text."""
+    order = np.argsort(-p, kind="stable")
+    ranked, hit = p[order], y[order] == 1
+    gain = np.cumsum(hit) / max(1, hit.sum()) - clean_weight * np.cumsum(~hit) / max(1, (~hit).sum())
+    gain[:-1][ranked[:-1] == ranked[1:]] = -np.inf
+    at = int(np.argmax(gain))
+    odds = lambda x: float(np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6))))
+    low = ranked[at + 1] if at + 1 < len(ranked) else 0.0
+    return max(0.05, float(linear.sigmoid(np.array((odds(ranked[at]) + odds(low)) / 2))))
 
 
 class _Judge:
@@ -139,7 +173,7 @@ class _Judge:
 
     def __call__(self, text: str) -> np.ndarray:
         found: set[int] = set()
-        found.update(*map(self.memo.__getitem__, set(WORD.findall(text.lower()))))
+        found.update(*map(self.memo.__getitem__, words_of(text)))
         return self.model.chain(self.model.weights[:, sorted(found)].sum(1))
 
 
@@ -150,7 +184,7 @@ def judge(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     """Add ``p_<category>`` for each category of the chain, and ``is_toxic`` (0 or 1)."""
     packed = pickle.dumps(model)
     key, shared = hashlib.sha256(packed).hexdigest(), df.sparkSession.sparkContext.broadcast(packed)
-    threshold = model.settings.threshold
+    threshold = model.threshold
 
     def kernel():
         if key not in _judges:

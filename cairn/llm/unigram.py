@@ -6,8 +6,13 @@ characters go as the published unigram tokenizer has them: of equal scores the p
 stays; a character that is no piece itself costs the lowest score less ten; unknown neighbours are one
 piece. Spaces become ``▁``, one is put in front, and a piece never crosses the start of a word.
 
+The vocabulary is a parameter. None of the tokenizer files at hand is a unigram one; the query takes the pieces of
+a BPE file, whose scores are its merge ranks, and leaves that file's normaliser out. So its counts are those of the
+unigram model with these pieces and scores, which the library agrees with (a test), and not the counts of the
+BPE tokenizer that the file was published as.
+
 Defined results: a null or empty text has no pieces. Words of any length are counted whole, in linear
-time. Repeated rows get equal counts; other columns pass through.
+time; only short ones are remembered. Repeated rows get equal counts; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from cairn.llm.frames import map_columns
 from cairn.llm.linear import TwoGenerations
 
-SPACE, UNKNOWN_PENALTY, MEMO_WORDS = "▁", 10.0, 400_000
+SPACE, UNKNOWN_PENALTY, MEMO_WORDS, MEMO_CHARS = "▁", 10.0, 200_000, 64
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -93,7 +98,8 @@ class Counter:
         words = text.replace(" ", SPACE).split(SPACE)
         if text[0] in (" ", SPACE):
             del words[0]
-        total = sum(map(self.memo.__getitem__, words))
+        memo = self.memo.__getitem__
+        total = sum(memo(w) if len(w) <= MEMO_CHARS else self._word(w) for w in words)
         return total & 0xFFFFFFFF, total >> 32
 
 

@@ -14,7 +14,8 @@ links, never pairs. Of two groups only one is asked by the other's vectors, and
 
 Each length of vectors has an index of its own, fitted on a bounded sample (`Settings.sample`); every vector
 is indexed and asks. Null, zero and non-finite vectors, those that hold nulls, and rows without an id link
-with nothing; such a row is its own component. Repeated ids count as separate vectors.
+with nothing; such a row is its own component. Rows count as separate vectors whatever their ids, so repeated rows
+link with each other.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import connected
-from cairn.llm.frames import materialise
+from cairn.llm.frames import materialise, scratch
 from cairn.llm.simhash import Forest
 
 
@@ -173,14 +174,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-_OUT = "id bigint, links bigint, root bigint"
+_OUT = "node bigint, links bigint, root bigint"
 
 
 def _cell(index: Index, radii: np.ndarray, table: pa.Table) -> pa.Table:
     """Links between one cell's members and askers."""
     settings, dim = index.settings, index.coarse.shape[1]
     is_member, foreign = (table.column(c).to_numpy() for c in ("member", "foreign"))
-    ids, copies, homes = (table.column(c).to_numpy() for c in ("id", "copies", "home"))
+    ids, copies, homes = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
     unit = _unit(_vectors(table.column("vec"), dim))
     askers, count, forest = np.flatnonzero(~is_member), np.zeros(len(ids), "i8"), Forest(len(ids))
     kind = "u1" if index.books.shape[1] <= 256 else "<u2"
@@ -209,7 +210,7 @@ def _cell(index: Index, radii: np.ndarray, table: pa.Table) -> pa.Table:
             x, y = np.nonzero(exact)
             forest.join(a[x], m[y])
     found = np.flatnonzero((count > 0) | (forest.parent != np.arange(len(ids))))
-    return pa.table([pa.array(ids[found]), pa.array(count[found]), pa.array(ids[forest.parent[found]])], names=["id", "links", "root"])
+    return pa.table([pa.array(ids[found]), pa.array(count[found]), pa.array(ids[forest.parent[found]])], names=["node", "links", "root"])
 
 
 def _grouped(sizes: np.ndarray, most: int) -> np.ndarray:
@@ -225,7 +226,9 @@ def _grouped(sizes: np.ndarray, most: int) -> np.ndarray:
 def _linked(alike: DataFrame, dim: int, settings: Settings) -> DataFrame:
     """``(key, n_links, component_id)`` of the distinct vectors among ``(id, key, vec)`` rows of one length."""
     spark = alike.sparkSession
-    distinct = materialise(alike.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "vectors")
+    distinct = alike.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    # ids may repeat, so each distinct vector has a number of its own
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     n = distinct.count()
     sample = distinct.select("vec").orderBy(F.xxhash64("key")).limit(settings.sample).collect()
     packed = pickle.dumps(Index.fit(_unit(_vectors(pa.array([r["vec"] for r in sample], pa.binary()), dim)), n, settings))
@@ -241,7 +244,7 @@ def _linked(alike: DataFrame, dim: int, settings: Settings) -> DataFrame:
                 made = [pa.array(near[:, 0]), pa.array(angles), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "home", "angle", "code", "error"])
 
-    placed = distinct.select("id", "copies", "vec").mapInArrow(assign, "id bigint, copies bigint, vec binary, home int, angle double, code binary, error double")
+    placed = distinct.select("node", "copies", "vec").mapInArrow(assign, "node bigint, copies bigint, vec binary, home int, angle double, code binary, error double")
     placed = materialise(placed, "placed")
     lists = len(pickle.loads(packed).coarse)
     radii, sizes = np.full(lists, -np.inf), np.zeros(lists, "i8")
@@ -265,36 +268,43 @@ def _linked(alike: DataFrame, dim: int, settings: Settings) -> DataFrame:
                 made[1] += [np.flatnonzero(m).tolist() for m in mask]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[0], pa.int32()), pa.array(made[1], pa.list_(pa.int32()))], names=[*batch.schema.names, "own", "asked"])
 
-    placed = placed.select("id", "copies", "vec", "home", "code", "error")
-    placed = materialise(placed.mapInArrow(ask, "id bigint, copies bigint, vec binary, home int, code binary, error double, own int, asked array<int>"), "asked")
+    placed = placed.select("node", "copies", "vec", "home", "code", "error")
+    placed = materialise(placed.mapInArrow(ask, "node bigint, copies bigint, vec binary, home int, code binary, error double, own int, asked array<int>"), "asked")
 
     # a group's grid: blocks of members by blocks of askers
     asked = placed.select(F.explode("asked").alias("group"), "own").groupBy("group").agg(F.count(F.lit(1)).alias("n_askers"), F.sum((F.col("group") == F.col("own")).cast("bigint")).alias("n_members"))
     grid = asked.select("group", F.ceil(F.col("n_members") / settings.members).cast("int").alias("rows"), F.ceil(F.col("n_askers") / settings.askers).cast("int").alias("columns"))
     grid = materialise(grid.filter("rows > 0"), "grid")
-    place = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    cols = ["group", "row", "column", "member", "foreign", "id", "copies", "vec", "home", "code", "error"]
+    place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    cols = ["group", "row", "column", "member", "foreign", "node", "copies", "vec", "home", "code", "error"]
     members = placed.withColumn("group", F.col("own")).join(grid, "group").withColumns({"row": place("rows"), "column": F.explode(F.sequence(F.lit(0), F.col("columns") - 1)), "member": F.lit(True), "foreign": F.lit(False)})
     askers = placed.withColumn("group", F.explode("asked")).join(grid, "group").withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "column": place("columns"), "member": F.lit(False), "foreign": F.col("group") != F.col("own"), "code": F.lit(None).cast("binary"), "error": F.lit(0.0)})
     cells = members.select(cols).unionByName(askers.select(cols)).groupBy("group", "row", "column")
     found = materialise(cells.applyInArrow(lambda table: _cell(_index(name, shared), radii, table), _OUT), "found")
 
-    roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.select("key", "id", "copies").join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
-    return materialise(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "known")
+    roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = roots.withColumnRenamed("node", "__node")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = distinct.select("key", "id", "copies", "node").join(counts, "node", "left").join(roots, F.col("node") == F.col("__node"), "left")
+    known = materialise(known.select("key", "id", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "known")
+    # a component is named by its smallest id; what links with nothing is its own
+    several = known.filter("n_links > 0").groupBy("root").agg(F.min("id").alias("component_id"))
+    return materialise(known.join(several, "root", "left").select("key", "n_links", F.coalesce("component_id", "id").alias("component_id")), "named")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``(id, n_links, component_id, kept)`` of every row."""
-    marked = materialise(_keys(df, id_col, vector_col), "keys")
-    dims = sorted(r["dim"] for r in marked.filter("dim is not null").select("dim").distinct().collect())
-    known = None
-    for dim in dims:
-        found = _linked(marked.filter(F.col("dim") == dim), dim, settings)
-        known = found if known is None else known.unionByName(found)
-    if known is None:
-        return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    out = marked.select("id", "key").join(known, "key", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    with scratch(df.sparkSession) as tables:
+        marked = tables.keep(_keys(df, id_col, vector_col), "keys")
+        dims = sorted(r["dim"] for r in marked.filter("dim is not null").select("dim").distinct().collect())
+        known = None
+        for dim in dims:
+            found = _linked(marked.filter(F.col("dim") == dim), dim, settings)
+            known = found if known is None else known.unionByName(found)
+        if known is None:
+            return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        known = tables.keep(known, "linked")
+    # what can't link has no key, and no part in the join
+    out = marked.filter("key is not null").select("id", "key").join(known, "key").select("id", "n_links", "component_id")
+    out = out.unionByName(marked.filter("key is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

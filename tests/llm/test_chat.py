@@ -71,3 +71,20 @@ def test_query_matches_sql(spark, sf_dir):
     expected = con.execute(registry.OP10_SQL).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert not [x for x in ("Python", "Pandas", "Arrow") if x in got._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_more_fields_than_a_layout_has(spark):
+    extra = spark.createDataFrame([(1, 0, "user", "q", "s", "p", "r", "x")], "conv_id long, turn int, role string, text string, system string, prompt string, response string, ord string")
+    assert [tuple(r) for r in chat.frame_turns(extra, "conv_id").collect()] == [(1, 0, "user", "q")]
+    records = [({"id": 7, "prompt": "a", "response": "b", "meta": {"k": [1]}}, "prompt_response"), ({"system": "s", "prompt": "a", "response": "b", "id": 1}, "system_prompt_response"), ({"messages": [{"role": "user", "content": "x", "name": "n"}], "id": "1"}, "messages"), ({"instruction": "i", "input": "j"}, None)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(records)], "conv_id long, rec string")
+    got = {r.conv_id: r for r in chat.layouts(df, "rec").collect()}
+    assert [got[i].layout for i in range(4)] == [name for _, name in records]
+    assert [tuple(t) for t in got[1].turns] == [("system", "s"), ("user", "a"), ("assistant", "b")]
+    assert chat.json_turns(df, "conv_id", "rec").count() == 2 + 3 + 1
+
+
+def test_query_with_clashing_columns(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows.selectExpr("*", "'x' AS system", "'y' AS prompt", "'z' AS input").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, registry.op10_chat_format(spark, str(tmp_path)).collect())) == sorted(map(tuple, registry.op10_chat_format(spark, sf_dir).collect()))

@@ -113,8 +113,41 @@ def test_edge_rows(spark):
 
 
 def test_slices_agree_with_whole_texts(monkeypatch):
-    text = " ".join(f"Word{i % 37}, x" for i in range(500))
+    text = " ".join(f"Word{i % 37}, x" for i in range(500)) + " y y y" * 200 + " " + "z" * 300
     whole = quality.Features(18)(text)
-    monkeypatch.setattr(quality, "SLICE_WORDS", 64)
-    sliced = quality.Features(18)(text)
-    assert set(whole) <= set(sliced) and len(sliced) - len(whole) < 10
+    for size in (64, 7, 3):
+        monkeypatch.setattr(quality, "SLICE_WORDS", size)
+        assert np.array_equal(whole, quality.Features(18)(text))
+    monkeypatch.setattr(quality, "LONG_TEXT", 1)
+    assert np.array_equal(whole, quality.Features(18)(text))
+
+
+def test_words_without_white_space_count_whole():
+    same = "\u4e00" * 64
+    a, b = same + "".join(chr(0x4E00 + i % 5000) for i in range(9000)), same + "\u4e01\u4e02"
+    assert len(quality.Features(18)(a)) > len(quality.Features(18)(b)) + 5000
+    words = toxicity.Words(toxicity.Settings())
+    assert len(words(a)) > len(words(b)) + 5000
+
+
+def test_repeated_ids_bound_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    sample = linear.labelled_sample(docs, labels, "quality", 10)
+    rows, y, _ = linear.collect_features(sample, lambda: quality.Features(10), "quality")
+    assert len(rows) == 2 and sorted(y.tolist()) == [0, 1]
+
+
+def test_threshold_is_between_what_it_parts():
+    p, y = np.array([0.9, 0.7, 0.04, 0.02, 0.01, 0.01]), np.array([1, 1, 0, 0, 1, 0])
+    assert 0.04 < toxicity.parted(p, y) < 0.7
+    assert toxicity.parted(np.array([0.9, 0.8]), np.array([1, 1])) <= 0.8
+    assert toxicity.parted(np.array([0.02, 0.01]), np.array([1, 0])) == 0.05
+
+
+def test_folds_choose_their_own_features():
+    """A feature that only the held rows' labels show isn't chosen by the others."""
+    y = np.array([0, 1] * 30)
+    rows = linear.Rows([np.array([1, 3] if i < 20 and y[i] else [1]) for i in range(60)])
+    settings = toxicity.Settings(bits=4)
+    assert 3 in toxicity._reduced(rows, y, np.arange(60), settings)[0] and 3 not in toxicity._reduced(rows, y, np.arange(20, 60), settings)[0]

@@ -100,3 +100,29 @@ def test_edge_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 40_000), (3, "é" * 40_000)], "doc_id long, text string")
     a, b, c, d = media.store_texts(df, keep=["doc_id"]).orderBy("doc_id").collect()
     assert a[1:] == b[1:] and c == d and a.n_bytes == 0 and a.payload_bytes == 64 and c.n_bytes == 80_000
+
+
+def test_fragments():
+    """A track of three samples in its tables and two fragments: defaults, sizes of their own, first-sample flags."""
+    full = lambda kind, flags, *parts: media._box(kind, struct.pack(">I", flags), *parts)
+    whole = media.mux(bytes(range(64)) * 3)
+    trex = media._box(b"mvex", full(b"trex", 0, struct.pack(">5I", 1, 1, 10, 4, media.NOT_SYNC)))
+    at = whole.index(b"moov") - 4
+    moov = whole[at:]
+    head = whole[:at] + struct.pack(">I", len(moov) + len(trex)) + moov[4:] + trex
+
+    def fragment(run, body, tfhd=b"", flags=media.BASE_IS_MOOF):
+        make = lambda offset: media._box(b"moof", full(b"mfhd", 0, struct.pack(">I", 1)), media._box(b"traf", full(b"tfhd", flags, struct.pack(">I", 1), tfhd), run(offset)))
+        return make(len(make(0)) + 8) + media._box(b"mdat", body)
+
+    first = fragment(lambda o: full(b"trun", media.RUN_OFFSET | media.FIRST_FLAGS, struct.pack(">IiI", 3, o, 0)), b"aaaabbbbcccc")
+    second = fragment(lambda o: full(b"trun", media.RUN_OFFSET | 0x100 | 0x200 | 0x400, struct.pack(">Ii", 2, o), struct.pack(">6I", 7, 5, 0, 8, 2, media.NOT_SYNC)), b"dddddee")
+    value = head + first + second
+    (track,) = media.parse(value)
+    assert track.n_samples == 3 + 3 + 2 and track.duration == 3 * 64 + 30 + 15
+    assert media.payload(value, track) == bytes(range(64)) * 3 + b"aaaabbbbccccdddddee"
+    at, sizes = track.keyframes()
+    assert [value[a : a + n] for a, n in zip(at.tolist(), sizes.tolist(), strict=True)] == [bytes(range(64)), b"aaaa", b"ddddd"]
+    for broken in (value[:-3], head + first.replace(b"tfhd", b"free"), head + fragment(lambda o: full(b"trun", 0, struct.pack(">I", 1 << 30)), b"")):
+        with pytest.raises(media.Malformed):
+            media.parse(broken)

@@ -86,3 +86,14 @@ def test_prefixes_fit_and_empty(odd_docs):
     for leaf, most in given.items():
         assert most - 200 < used[leaf] <= most or not most
     assert mixing.mix(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("plan", [mixing.Plan(domains={"web": 0, "books": 3, "code": 1}), mixing.Plan(languages={"en": 0, "de": 5}, default=1), mixing.Plan(sources={"src0": 0}), mixing.Plan(default=0, sources={"src1": 4})])
+def test_weight_zero_shuts_out(spark, sf_dir, plan):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame([(-1, "", "en", "src0", 0), (-2, None, "xx", "none", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted(map(tuple, mixing.mix(docs, plan).collect()), key=str)
+    assert got == sql_rows(con, plan) and got
+    weight = lambda name, own: own.get(name, plan.default)
+    assert all(weight(r[1], plan.domains) and weight(r[2], plan.languages) and weight(r[3], plan.sources) for r in got)

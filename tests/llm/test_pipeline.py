@@ -10,8 +10,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cairn.llm import mixing, registry, secrets
 
-from .test_simhash import slow_fingerprint, slow_roots
-
 SF = "/root/testdata/sf0.01"
 
 
@@ -39,17 +37,6 @@ def test_toxicity_stage(spark, stages):
     assert kept == {i for i, t in judged.items() if not t} and 0 < len(kept) < docs.count()
 
 
-def test_near_copies_stage(stages):
-    docs, made = stages[1]
-    rows = {r.doc_id: slow_fingerprint(r.text) for r in docs.collect()}
-    values = sorted(set(rows.values()))
-    root = dict(zip(values, slow_roots(values, 6), strict=True))
-    smallest = {}
-    for i, v in sorted(rows.items(), reverse=True):
-        smallest[root[v]] = i
-    assert sorted(r.doc_id for r in made.collect()) == sorted(smallest.values())
-
-
 def shingle_sets(docs):
     out = {}
     for r in docs:

@@ -61,7 +61,7 @@ def test_carry_save_counters(radius):
             assert simhash.within(planes, k, (1 << (len(values) - k)) - 1, radius) == expected
 
 
-@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.WIDE])
+@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.Scheme(6, (8,) * 8)])
 @pytest.mark.parametrize("longest", [1 << 14, 60, 5])
 def test_long_runs_lose_no_link(longest, scheme, monkeypatch):
     monkeypatch.setattr(simhash, "LONG_RUN", longest)
@@ -75,7 +75,7 @@ def test_long_runs_lose_no_link(longest, scheme, monkeypatch):
     assert [forest.root(i) for i in range(len(values))] == slow_roots(values, scheme.radius)
 
 
-@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.WIDE])
+@pytest.mark.parametrize("scheme", [simhash.CLOSE, simhash.Scheme(6, (8,) * 8)])
 def test_links_find_all_components(spark, scheme):
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(60)}
@@ -93,6 +93,16 @@ def test_links_find_all_components(spark, scheme):
         assert {got.get(v, v) for v in own} == {min(own)}
 
 
+def test_near_pairs_of_wide_values():
+    rng = np.random.default_rng(6)
+    values = rng.integers(1 << 63, size=(70, 4), dtype="u8")
+    values[20:50] = values[19] ^ (rng.integers(1 << 63, size=(30, 4), dtype="u8") & rng.integers(1 << 63, size=(30, 4), dtype="u8") & rng.integers(1 << 63, size=(30, 4), dtype="u8"))
+    keys = np.sort(rng.integers(3, size=70))
+    got = {(int(i), int(j)) for a, b in simhash.near_pairs(values, keys, 69, 56) for i, j in zip(a, b, strict=True)}
+    distance = lambda i, j: sum(int(x).bit_count() for x in values[i] ^ values[j])
+    assert got == {(i, j) for j in range(70) for i in range(j) if keys[i] == keys[j] and distance(i, j) <= 56} and len(got) > 50
+
+
 def test_runs_across_batches():
     import pyarrow as pa
 

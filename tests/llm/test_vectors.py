@@ -103,3 +103,40 @@ def test_each_length_links(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4)]
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [1.0, 0.35]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (8, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True)]
+
+
+def test_planted_links_over_many_lists(spark, tmp_path):
+    """Pairs at cosines from 0.90 to 0.95 among 128 lists and more, with the default probes; by brute force and by SQL."""
+    rng = np.random.default_rng(12)
+    base = vectors._unit(rng.normal(size=(6000, 32)))
+    off = rng.normal(size=(1500, 32))
+    off -= (off * base[:1500]).sum(1, keepdims=True) * base[:1500]
+    cosine = rng.uniform(0.9, 0.95, size=(1500, 1))
+    x = np.concatenate([base, cosine * base[:1500] + np.sqrt(1 - cosine**2) * vectors._unit(off)]).astype("f4").astype("f8")
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    expected = brute(ids, x)
+    assert sum(v[0] for v in expected.values()) > 2500
+    settings = dataclasses.replace(vectors.Settings(), per_list=50)
+    assert len(vectors.Index.fit(x, len(x), settings).coarse) >= 128
+    check(vectors.near_duplicates(df, settings=settings).collect(), expected, least=0.98)
+
+
+def test_sql_counts_links_of_planted_and_repeated_rows(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(60, 8))
+    x = np.concatenate([base, base[:20] + 0.1 * rng.normal(size=(20, 8)), base[:3]])
+    ids = [*range(80), 0, 1, 55]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(90, None), (91, [0.0] * 8)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted(map(tuple, registry.op9_vector_dedup(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(registry.OP9_SQL).fetchall()) and sum(r[1] for r in got) > 20

@@ -1,63 +1,5 @@
 """The corpus pipeline: documents without toxic texts and near copies, secrets blanked out, sources mixed, encoded."""
 
-from __future__ import annotations
+from cairn.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cairn.llm import bpe, mixing, secrets, simhash, toxicity
-from cairn.llm.frames import read, shared_dir
-from cairn.llm.registry import byte_bpe_path
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject; its labels come from the labels table."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    judged = toxicity.judge(docs, model, prefix="__p_", verdict="__toxic")
-    return judged.filter("__toxic = 0").select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return simhash.one_of_each(docs)
-
-
-def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts."""
-    model = secrets.train(secrets.labelled_samples(spark))
-    found = secrets.scan(docs, model, out_col="__spans")
-    text = secrets.redacted(F.col("text"), F.col("__spans"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's share of the token budget takes them."""
-    return mixing.mixed_documents(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns and their token ids."""
-    return bpe.encode(docs, bpe.load(spark, byte_bpe_path()))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_copies),
-    ("secrets", blank_secrets),
-    ("mixing", mix_sources),
-    ("bpe", encode),
-]
-
-#: No SQL states the classifier chain, the fingerprints or the encoding; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's result is a table that the next one reads."""
-    docs, base = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

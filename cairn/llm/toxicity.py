@@ -55,7 +55,7 @@ class Settings:
     folds: int = 3
     l2: float = 0.1
     threshold: float | None = None
-    clean_weight: float = 10.0
+    clean_weight: float = 7.0
 
 
 MEMO_WORDS = 200_000

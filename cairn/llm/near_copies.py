@@ -102,13 +102,15 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def chained(members: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)`` of ``(key, node, size, n)``: neighbours in random orders of each bucket. An order holds
-    about `CELL` texts of a bucket, and each of the `CHAINS` deals a larger bucket's texts out anew."""
+    """Candidates ``(a, b)`` of ``(key, node, size, n, print)``: near fingerprints among the neighbours in random orders
+    of each bucket. An order holds about `CELL` texts of a bucket, and each of the `CHAINS` deals a larger bucket's
+    texts out anew."""
     spun = members.withColumn("chain", F.explode(F.array(*map(F.lit, range(CHAINS)))))
     spun = spun.withColumn("part", F.pmod(F.xxhash64("node", "chain"), F.ceil(F.col("n") / CELL)))
     order = Window.partitionBy("key", "chain", "part").orderBy(F.xxhash64("chain", "node"), "node")
-    beside = spun.select(F.col("node").alias("a"), "size", F.lag("node").over(order).alias("b"), F.lag("size").over(order).alias("size_b"))
-    return beside.filter(F.col("b").isNotNull() & _alike_in_size("size", "size_b")).select("a", "b")
+    beside = spun.select(F.col("node").alias("a"), "size", "print", F.lag(F.struct("node", "size", "print")).over(order).alias("next"))
+    bits = sum(F.bit_count(F.col("print")[i].bitwiseXOR(F.col("next.print")[i])) for i in range(WORDS))
+    return beside.filter(F.col("next").isNotNull() & _alike_in_size("size", "next.size") & (bits <= RADIUS)).select("a", F.col("next.node").alias("b"))
 
 
 def _near(cells: pa.Table) -> pa.RecordBatch:
@@ -217,14 +219,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         distinct = materialise(distinct.select("first.*", *[F.col("own").getField(c).alias(n) for c, n in zip(names[2:], ("size", "keys", "print"), strict=True)]), "distinct")
 
         each = distinct.select("node", "size", F.explode("keys").alias("key"))
-        members = materialise(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "members")
+        members = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+        members = materialise(members.join(distinct.select("node", "print"), "node"), "members")
         sets = rows.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
         sets = materialise(map_columns(sets, ["text"], "shingles binary", lambda: lambda c: [pa.array([shingle_set(t.as_py()).tobytes() for t in c[0]], pa.binary())], ["node"]), "sets")
 
         found = similar(sets, _pairs(chained(members)))
         roots = connected(found)
-        rooted = distinct.select("node", "print").join(roots, "node", "left").select("node", "print", F.coalesce("root", "node").alias("root"))
-        more = materialise(apart(materialise(members.join(rooted, "node"), "rooted"), sets), "more")
+        rooted = materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        more = materialise(apart(rooted, sets), "more")
         if not more.isEmpty():
             roots = connected(found.unionByName(more))
         # the node of the smallest id stands for a group

@@ -106,7 +106,7 @@ def facts(text: str) -> list[int]:
 
 def _chosen(rows: linear.Rows, y: np.ndarray, settings: Settings) -> np.ndarray:
     """Features by the size of their smoothed log-odds between the classes times the root of their count."""
-    n = 1 << settings.bits
+    n = int(rows.of.max(initial=-1)) + 1
     pos, neg = rows.spread((y == 1).astype("f8"), n), rows.spread((y == 0).astype("f8"), n)
     rate_pos, rate_neg = (pos + 0.5) / ((y == 1).sum() + 1), (neg + 0.5) / ((y == 0).sum() + 1)
     weight = np.where(pos + neg >= max(settings.least_docs, settings.least_share * len(rows)), np.abs(np.log(rate_pos / rate_neg)) * np.sqrt(pos + neg), 0)
@@ -122,7 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     n_steps = len(CHAIN)
     if len(set(toxic.tolist())) < 2:
         return Model(np.empty(0, "i8"), np.zeros((n_steps, 0)), [np.zeros(k) for k in range(n_steps)], [float(np.log(0.01 / 0.99))] * n_steps, settings)
+    # features are numbered by what occurs: tables are as long as that, not as all hashes
+    known, rows.of = np.unique(rows.of, return_inverse=True)
     every, features, own, n = rows, *_reduced(rows, toxic, np.arange(len(toxic)), settings)
+    features = known[features]
     fold = linear.folds(len(toxic), settings.folds)
     parts = []
     for f in range(settings.folds):
@@ -146,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def _reduced(rows: linear.Rows, y: np.ndarray, seen: np.ndarray, settings: Settings) -> tuple[np.ndarray, linear.Rows, int]:
     """The features that the seen rows choose, all rows with those only, and how many there are."""
     features = _chosen(rows.pick(seen), y[seen], settings)
-    number = np.full(1 << settings.bits, -1, "i8")
+    number = np.full(int(rows.of.max(initial=-1)) + 1, -1, "i8")
     number[features] = np.arange(len(features))
     return features, rows.only(number), len(features)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.positional import FRAG, OFF
+from cairn.operators.positional import FRAG, OFF, visible_counts, with_ordinals
 
 #: Most values a run of one byte length can have.
 RUN = 255
@@ -33,9 +33,10 @@ def rle_decode(runs: DataFrame) -> DataFrame:
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``(index, value)``: distinct values, numbered by where they first occur. A row a value, so it is small."""
-    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(FRAG, OFF)).alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("index"), "value")
+    """``(index, value)``: distinct values, numbered by where they first occur: in their fragment, after those that
+    first occur in earlier fragments."""
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(FRAG, OFF)).alias("at")).select("value", f"at.{FRAG}", f"at.{OFF}")
+    return with_ordinals(first, visible_counts(first)).select(F.col("__ord").alias("index"), "value")
 
 
 def dictionary_encode(df: DataFrame, column: str, values: DataFrame) -> DataFrame:

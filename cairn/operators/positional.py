@@ -91,10 +91,15 @@ def take(df: DataFrame, counts: DataFrame, indices: Sequence[int], total: int, d
 
 
 def merge_columns(parts: Sequence[DataFrame]) -> DataFrame:
-    """Column files of the same rows, put together by position; of a repeated name the first file's stays."""
+    """Column files of the same rows, put together by position; of a repeated name the first file's stays. A row that a
+    later file lacks is an error (what it has beyond the first one's rows, a table's write has ruled out)."""
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part.select(FRAG, OFF, *[c for c in part.columns if c not in out.columns]), [FRAG, OFF])
+        own = part.select(FRAG, OFF, F.lit(True).alias("__there"), *[c for c in part.columns if c not in out.columns])
+        names = [c for c in own.columns if c not in (FRAG, OFF, "__there")]
+        joined = out.join(own, [FRAG, OFF], "left")
+        there = F.when(F.col("__there"), F.col(OFF)).otherwise(F.raise_error(F.lit("a column file lacks a row")).cast("bigint"))
+        out = joined.select(*[F.col(f"`{c}`") for c in out.columns if c != OFF], there.alias(OFF), *[F.col(f"`{c}`") for c in names])
     return out
 
 

@@ -12,6 +12,8 @@ from cairn.functions import logical_types
 from cairn.operators import encodings as E
 from cairn.operators import positional as P
 from cairn.operators import repdef as R
+from cairn.sources.shared import shared_folder
+from cairn.sources.table import VersionedTable
 from cairn.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +46,19 @@ def _visible(spark: SparkSession, sf_dir: str, table: str, deleted: str | None,
     return P.apply_deletions(rows, rows.filter(deleted)) if deleted else rows
 
 
+_TABLES: dict[tuple[str, ...], VersionedTable] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, table: str, k: int = K, deleted: str | None = None) -> VersionedTable:
+    """A versioned table of the file's rows, in fragments of ``k`` of them: version 1 has all, version 2 lacks the
+    deleted ones. Made once a session, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, table, str(k), str(deleted))
+    if key not in _TABLES:
+        made = VersionedTable(spark, shared_folder(spark, table)).create(spark.read.parquet(_file(sf_dir, table)), k)
+        _TABLES[key] = made.delete(deleted) if deleted else made
+    return _TABLES[key]
+
+
 def _at(table: str, k: int = K, where: str = "true") -> str:
     """The SQL of a table's visible rows with fragment, place and ordinal."""
     return f"""(SELECT *, row_number() OVER (ORDER BY frag, off) - 1 AS ord, row_number() OVER (PARTITION BY frag ORDER BY off) - 1 AS local
@@ -96,37 +111,40 @@ _range("negative_offset", -5, 20)
 
 @query("f01_deletion_mask", f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE}")
 def _(spark, d):
-    return _orders(_visible(spark, d, "orders", GONE))
+    return _orders(_table(spark, d, "orders", K, GONE).read(version=2))
 
 
 @query("f01_deletion_projection", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT c_acctbal < 0")
 def _(spark, d):
-    return P.without_positions(P.project(_visible(spark, d, "customer", "c_acctbal < 0"), ["c_mktsegment", "c_custkey"]))
+    return _table(spark, d, "customer", K, "c_acctbal < 0").read(["c_mktsegment", "c_custkey"])
 
 
 @query("f01_all_deleted", "SELECT * FROM region WHERE false")
 def _(spark, d):
-    return P.without_positions(_visible(spark, d, "region", "true"))
+    return _table(spark, d, "region", K, "true").read()
+
+
+def _counts(spark: SparkSession, counts: dict[int, int]) -> DataFrame:
+    return spark.createDataFrame(list(counts.items()), "version int, n bigint")
 
 
 @query("a01_count_rows", "SELECT count(*) AS n FROM lineitem")
 def _(spark, d):
-    return P.visible_counts(_rows(spark, d, "lineitem")).agg(F.sum("visible").alias("n"))
+    return _counts(spark, {1: _table(spark, d, "lineitem").count_rows()}).select("n")
 
 
 @query("a01_count_after_delete", f"SELECT count(*) AS n FROM orders WHERE NOT {GONE}")
 def _(spark, d):
-    rows = _rows(spark, d, "orders")
-    held = rows.groupBy(P.FRAG).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(GONE)).alias("deleted"))
-    return held.agg(F.sum(F.col("rows") - F.col("deleted")).alias("n"))
+    return _counts(spark, {2: _table(spark, d, "orders", K, GONE).count_rows(2)}).select("n")
 
 
-def _versions(spark, d) -> dict[int, DataFrame]:
-    """Version 1 is the table, 2 lacks deleted rows, 3 has the first thousand keys appended again under new ones."""
-    base = _orders(_rows(spark, d, "orders"))
-    second = _orders(_visible(spark, d, "orders", GONE))
-    more = base.filter("o_orderkey <= 1000").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
-    return {1: base, 2: second, 3: second.unionByName(more)}
+def _versions(spark, d) -> VersionedTable:
+    """Version 1 is the file, 2 lacks deleted rows, 3 has the first thousand keys appended again under new ones."""
+    table = _table(spark, d, "orders", K, GONE)
+    if len(table.versions()) == 2:
+        more = spark.read.parquet(_file(d, "orders")).filter("o_orderkey <= 1000").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+        table.append(more, K)
+    return table
 
 
 _VERSION_SQL = {
@@ -135,12 +153,13 @@ _VERSION_SQL = {
     3: f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE} UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey <= 1000",
 }
 for _v in _VERSION_SQL:
-    query(f"s07_time_travel_v{_v}", _VERSION_SQL[_v])(lambda spark, d, v=_v: _versions(spark, d)[v])
+    query(f"s07_time_travel_v{_v}", _VERSION_SQL[_v])(lambda spark, d, v=_v: _orders(_versions(spark, d).read(version=v)))
 
 
 @query("a01_count_per_version", " UNION ALL ".join(f"SELECT {v} AS version, count(*) AS n FROM ({s})" for v, s in _VERSION_SQL.items()))
 def _(spark, d):
-    return reduce(DataFrame.unionByName, [df.agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n")) for v, df in _versions(spark, d).items()])
+    table = _versions(spark, d)
+    return _counts(spark, {v: table.count_rows(v) for v in _VERSION_SQL})
 
 
 @query("a02_fragment_prefix_sum", f"SELECT frag, n AS visible, coalesce(sum(n) OVER (ORDER BY frag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT frag, count(*) AS n FROM {_at('orders', K, f'NOT {GONE}')} GROUP BY frag)")
@@ -153,7 +172,7 @@ def _rowid(name: str, table: str, key: str, where: str | None, k: int):
 
     @query(f"w01_rowid_{name}", sql)
     def _(spark, d):
-        return _visible(spark, d, table, where, k).withColumn("_rowid", P.row_id(where is not None)).select(*key.split(", "), "_rowid")
+        return _table(spark, d, table, k, where).read(key.split(", "), with_row_id=True, version=2 if where else 1).select(*key.split(", "), "_rowid")
 
 
 _rowid("plain", "orders", "o_orderkey", None, 1 << 30)
@@ -169,8 +188,7 @@ _rowid("all_deleted", "region", "r_name", "true", K)
 def _head(name: str, table: str, columns: str, n: int, where: str | None = None, k: int = K):
     @query(f"l01_head_{name}", f"SELECT {columns}, ord FROM {_at(table, k, f'NOT ({where})' if where else 'true')} WHERE ord < {n}")
     def _(spark, d):
-        rows = _visible(spark, d, table, where, k)
-        return P.head(rows, P.visible_counts(rows), n, where is not None).select(*columns.split(", "), F.col("__ord").alias("ord"))
+        return _table(spark, d, table, k, where).head(n, columns.split(", "), 2 if where else 1, "ord").select(*columns.split(", "), "ord")
 
 
 _head("first", "orders", "o_orderkey, o_totalprice", 20)
@@ -186,8 +204,7 @@ def _take(name: str, columns: str, indices: list[int], where: str | None = None)
 
     @query(f"l02_take_{name}", sql)
     def _(spark, d):
-        rows = _visible(spark, d, "orders", where, 500)
-        return P.take(rows, P.visible_counts(rows), indices, max([*indices, 0]) + 1, where is not None).select("slot", *columns.split(", "))
+        return _table(spark, d, "orders", 500, where).take(indices, columns.split(", "), 2 if where else 1, "slot").select("slot", *columns.split(", "))
 
 
 _take("ordered_duplicates", "o_orderkey", [40, 7, 7, 0, 499, 40])
@@ -213,16 +230,30 @@ def _(spark, d):
     return P.align(rows, spark.createDataFrame([], "c_custkey bigint, c_name string, score double").schema)
 
 
+def _evolved(spark, d) -> VersionedTable:
+    """Version 2 of the customers has a column more, 5 lacks three of version 1's, 6 has one under a name dropped before."""
+    table = _table(spark, d, "customer", 300)
+    if len(table.versions()) == 1:
+        table.add_column("score", "CAST(c_custkey AS DOUBLE) * 1.5")
+        for name in ("c_name", "c_nationkey", "c_mktsegment"):
+            table.drop_column(name)
+        table.rename_column("c_acctbal", "c_name")
+    return table
+
+
 @query("p05_add_column", "SELECT c_custkey, c_name, c_custkey::DOUBLE * 1.5 AS score FROM customer")
 def _(spark, d):
-    rows = _rows(spark, d, "customer").select("c_custkey", "c_name", P.FRAG, P.OFF)
-    score = rows.select(P.FRAG, P.OFF, (F.col("c_custkey").cast("double") * 1.5).alias("score"))
-    return P.without_positions(P.merge_columns([rows, score]))
+    return _evolved(spark, d).read(["score", "c_name", "c_custkey"], version=2)
+
+
+@query("p06_drop_column", "SELECT c_custkey, c_acctbal, c_custkey::DOUBLE * 1.5 AS score FROM customer")
+def _(spark, d):
+    return _evolved(spark, d).read(version=5)
 
 
-@query("p06_drop_column", "SELECT c_custkey, c_acctbal FROM customer")
+@query("p06_name_used_again", "SELECT c_custkey, c_acctbal AS c_name FROM customer")
 def _(spark, d):
-    return spark.read.parquet(_file(d, "customer")).drop("c_name", "c_nationkey", "c_mktsegment")
+    return _evolved(spark, d).read(["c_name", "c_custkey"])
 
 
 @query("j01_positional_merge", "SELECT p_partkey, p_name, p_brand, p_size FROM part")
@@ -236,9 +267,9 @@ def _(spark, d):
 # types
 
 
-@query("t_unsigned", "SELECT l_orderkey, (l_linenumber % 256)::SMALLINT AS u8, l_partkey::INTEGER AS u16, l_suppkey::BIGINT AS u32, l_orderkey::DECIMAL(20, 0) AS u64 FROM lineitem WHERE l_partkey < 65536")
+@query("t_unsigned", "SELECT l_orderkey, (l_linenumber % 256)::SMALLINT AS u8, (l_partkey % 65536)::INTEGER AS u16, l_suppkey::BIGINT AS u32, l_orderkey::DECIMAL(20, 0) AS u64 FROM lineitem")
 def _(spark, d):
-    rows = spark.read.parquet(_file(d, "lineitem")).filter("l_partkey < 65536").selectExpr("l_orderkey", "l_linenumber % 256 AS u8", "l_partkey AS u16", "l_suppkey AS u32", "l_orderkey AS u64")
+    rows = spark.read.parquet(_file(d, "lineitem")).selectExpr("l_orderkey", "l_linenumber % 256 AS u8", "l_partkey % 65536 AS u16", "l_suppkey AS u32", "l_orderkey AS u64")
     return logical_types.conform(rows, {"u8": "uint8", "u16": "uint16", "u32": "uint32", "u64": "uint64"})
 
 

@@ -1,7 +1,7 @@
 """Immutable snapshots of a table: fields, fragments and deletions as JSON, one file a version.
 
-A snapshot file is written under a temporary name and renamed, through Hadoop's file system, so tables
-may live wherever Spark reads and writes.
+A snapshot file is created, never overwritten, through Hadoop's file system, so tables may live wherever Spark
+reads and writes, and of two writers of a version one fails.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -78,22 +79,26 @@ class SnapshotStore:
         there = self.versions()
         if not there:
             raise FileNotFoundError(f"no table at {self._dir}")
-        version = there[-1] if version is None else version
-        if version not in there:
+        if version is not None and version not in there:
             raise FileNotFoundError(f"no version {version}")
+        for each in reversed(there) if version is None else (version,):
+            if text := self._text(each):  # one that is still being written is empty
+                return Snapshot.from_json(text)
+        raise FileNotFoundError(f"no table at {self._dir}")
+
+    def _text(self, version: int) -> str:
         stream = self._fs().open(self._path(f"{version}.json"))
         try:
-            return Snapshot.from_json(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
     def save(self, snapshot: Snapshot) -> None:
-        fs, made = self._fs(), self._path(f"{snapshot.version}.json")
-        if fs.exists(made):
-            raise FileExistsError(f"version {snapshot.version} is there already")
-        part = self._path(f".{snapshot.version}.part")
-        stream = fs.create(part, True)
+        """Only one writer can create a version's file; the others fail."""
+        made = self._path(f"{snapshot.version}.json")
+        try:
+            stream = self._fs().create(made, False)
+        except Py4JJavaError as e:
+            raise FileExistsError(f"version {snapshot.version} is there already") from e
         stream.write(bytearray(snapshot.to_json().encode()))
         stream.close()
-        if not fs.rename(part, made):
-            raise FileExistsError(f"version {snapshot.version} is there already")

@@ -8,11 +8,12 @@ from dataclasses import replace
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.operators import positional as P
+from cairn.sources.shared import drop_folder
 from cairn.sources.snapshots import Fragment, Snapshot, SnapshotStore
 
 
@@ -88,21 +89,25 @@ class VersionedTable:
         """From the snapshot alone; no data is read."""
         return sum(f.visible for f in self.snapshot(version).fragments)
 
-    def head(self, n: int, columns: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
+    def head(self, n: int, columns: Sequence[str] | None = None, version: int | None = None, ordinal: str | None = None) -> DataFrame:
+        """The first n visible rows; ``ordinal`` names a column that takes their places."""
         snap = self.snapshot(version)
         n = max(0, min(n, sum(f.visible for f in snap.fragments)))
         frags = {f.frag for f, before in zip(snap.fragments, [0, *accumulate(f.visible for f in snap.fragments)], strict=False) if before < n}
         rows = P.head(self._scan(snap, columns, frags), self._counts(snap, frags), n, self._deleted(snap))
-        return P.without_positions(rows.orderBy("__ord").drop("__ord"))
+        rows = rows.orderBy("__ord")
+        return P.without_positions(rows.withColumnRenamed("__ord", ordinal) if ordinal else rows.drop("__ord"))
 
-    def take(self, indices: Sequence[int], columns: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
+    def take(self, indices: Sequence[int], columns: Sequence[str] | None = None, version: int | None = None, slot: str | None = None) -> DataFrame:
+        """Visible rows by ordinal, in the order asked for; ``slot`` names a column that takes the place in the request."""
         snap, indices = self.snapshot(version), list(indices or [])
         total = sum(f.visible for f in snap.fragments)
         if any(not 0 <= i < total for i in indices):
             raise IndexError(f"a row index is not within the table's {total} rows")
         frags = self._needed(snap, indices)
         rows = P.take(self._scan(snap, columns, frags), self._counts(snap, frags), indices, total, self._deleted(snap))
-        return P.without_positions(rows.orderBy("slot").drop("slot", "__ord"))
+        rows = rows.orderBy("slot").drop("__ord")
+        return P.without_positions(rows.withColumnRenamed("slot", slot) if slot else rows.drop("slot"))
 
     # writing
 
@@ -111,17 +116,20 @@ class VersionedTable:
         df.select(*[F.col(f"`{n}`").alias(f"f{i}") for i, n, _ in fields], P.FRAG, P.OFF).write.partitionBy(P.FRAG).parquet(f"{self.path}/data/{group}")
         return names
 
-    def _numbered(self, df: DataFrame, rows_per_fragment: int, first: int) -> tuple[DataFrame, list[int]]:
-        """Positions in the frame's own order: rows are counted by partition, never sorted."""
-        marked = df.withColumn("__id", F.monotonically_increasing_id())
-        sizes = dict(marked.groupBy(F.expr("__id >> 33").alias("p")).count().collect())
-        parts = sorted(sizes)
-        starts = dict(zip(parts, [0, *accumulate(sizes[p] for p in parts)], strict=False))
-        start = F.create_map(*[F.lit(x) for p in parts for x in (p, starts[p])])[F.expr("__id >> 33")] if parts else F.lit(0)
-        at = start + F.expr(f"__id & {(1 << 33) - 1}")
-        total = sum(sizes.values())
-        numbered = marked.withColumn("__at", at.cast("bigint")).withColumns({P.FRAG: F.expr(f"cast(__at div {rows_per_fragment} as int) + {first}"), P.OFF: F.col("__at") % rows_per_fragment})
-        return numbered.drop("__id", "__at"), [min(rows_per_fragment, total - i) for i in range(0, total, rows_per_fragment)]
+    def _staged(self, df: DataFrame, fields: Sequence[tuple[int, str, str]], rows_per_fragment: int, first: int) -> tuple[str, DataFrame, int]:
+        """The frame's rows written once, and read from there with positions in its own order: a row's place is the
+        rows of earlier files and its index in its file. So numbers never depend on how a plan runs twice."""
+        path = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        df.select(*[F.col(f"`{n}`").alias(f"f{i}") for i, n, _ in fields]).write.parquet(path)
+        rows = self.spark.read.schema(T.StructType([T.StructField(f"f{i}", T._parse_datatype_json_string(t)) for i, _, t in fields])).parquet(path)
+        located = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        # a row a file: put in order in one place
+        sizes = located.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = F.col("start") + F.col("__at")
+        position = {P.FRAG: F.expr(f"cast((start + __at) div {rows_per_fragment} as int) + {first}"), P.OFF: at % rows_per_fragment}
+        numbered = located.join(sizes.select("__file", before.alias("start")), "__file").withColumns(position).drop("__file", "__at", "start", "n")
+        return path, numbered, sizes.agg(F.sum("n")).first()[0] or 0
 
     def create(self, df: DataFrame, rows_per_fragment: int = 1_000_000) -> VersionedTable:
         return self._extend(df, rows_per_fragment, Snapshot(0, tuple((i, f.name, f.dataType.json()) for i, f in enumerate(df.schema.fields)), ()))
@@ -132,13 +140,25 @@ class VersionedTable:
     def _extend(self, df: DataFrame, rows_per_fragment: int, snap: Snapshot) -> VersionedTable:
         df = P.align(df, snap.schema)
         first = max((f.frag for f in snap.fragments), default=-1) + 1
-        numbered, sizes = self._numbered(df, rows_per_fragment, first)
+        staged, numbered, total = self._staged(df, snap.fields, rows_per_fragment, first)
+        sizes = [min(rows_per_fragment, total - i) for i in range(0, total, rows_per_fragment)]
         group = uuid.uuid4().hex
-        names = self._write(numbered, snap.fields, group) if sizes else {}
+        if sizes:
+            numbered.write.partitionBy(P.FRAG).parquet(f"{self.path}/data/{group}")
+            self._check(group, {first + i: n for i, n in enumerate(sizes)})
+        names = {str(i): f"f{i}" for i, _, _ in snap.fields} if sizes else {}
+        drop_folder(self.spark, staged)
         added = tuple(Fragment(first + i, (group,), n) for i, n in enumerate(sizes))
         self.store.save(replace(snap, version=snap.version + 1, fragments=snap.fragments + added, groups=snap.groups | ({group: names} if sizes else {})))
         return self
 
+    def _check(self, group: str, rows: dict[int, int]) -> None:
+        """A write holds as many rows of each fragment as the snapshot will say; a row a fragment reaches the driver."""
+        held = dict(self.spark.read.parquet(f"{self.path}/data/{group}").groupBy(P.FRAG).count().collect())
+        if held != rows:
+            wrong = sorted((f for f in held.keys() | rows.keys() if held.get(f) != rows.get(f)), key=str)
+            raise ValueError(f"fragment {wrong[0]} has {held.get(wrong[0])} rows written of {rows.get(wrong[0])}")
+
     def delete(self, predicate: str) -> VersionedTable:
         """Mask the visible rows that a SQL predicate is true for."""
         snap = self.snapshot()
@@ -161,6 +181,8 @@ class VersionedTable:
         known = [int(i) for names in snap.groups.values() for i in names] + [i for i, _, _ in snap.fields]
         field, group = (max(known, default=-1) + 1, name, made.schema[name].dataType.json()), uuid.uuid4().hex
         names = self._write(made, [field], group) if snap.fragments else {}
+        if names:
+            self._check(group, {f.frag: f.rows for f in snap.fragments})
         fragments = tuple(replace(f, groups=(*f.groups, group)) for f in snap.fragments)
         self.store.save(replace(snap, version=snap.version + 1, fields=(*snap.fields, field), fragments=fragments, groups=snap.groups | ({group: names} if names else {})))
         return self

@@ -1,5 +1,7 @@
 """Versions, deletions, row ids, schema evolution and positional reads, with the fixtures' numbers."""
 
+import dataclasses
+
 import pytest
 
 from cairn.operators import positional as P
@@ -123,3 +125,32 @@ def test_head_and_take_agree(spark, counted):
     total = counted.count_rows()
     assert ids(counted.take(range(total))) == ids(counted.head(total))
     assert sorted(ids(counted.read(["id"]))) == sorted(ids(counted.head(total, ["id"])))
+
+
+def test_rows_of_an_aggregate_under_aqe_all_stay(spark, tmp_path):
+    """Number and order of partitions change between a plan's runs; rows are written once and numbered from files."""
+    big = spark.range(0, 60_000, 1, 8).selectExpr("id % 20000 AS k", "id AS v").groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    t = VersionedTable(spark, f"{tmp_path}/t").create(big, 700)
+    t.append(big, 900)
+    rows = t.read(with_row_id=True)
+    assert t.count_rows() == rows.count() == rows.select("_rowid").distinct().count() == 40_000
+    assert rows.filter("_rowid IS NULL").count() == 0 and rows.groupBy("k", "v").count().filter("count <> 2").count() == 0
+
+
+def test_column_files_of_other_rows_are_refused(spark, tmp_path):
+    left = spark.createDataFrame([(0, i, i) for i in range(5)], "__frag int, __off bigint, a int")
+    right = left.filter("__off < 4").select("__frag", "__off", (left["a"] * 2).alias("b"))
+    with pytest.raises(Exception, match="lacks a row"):
+        P.merge_columns([left, right]).collect()
+    t = VersionedTable(spark, f"{tmp_path}/t").create(spark.range(10).toDF("a"), 4)
+    with pytest.raises(ValueError, match="rows written"):
+        t._check(next(iter(t.snapshot().groups)), {0: 4, 1: 4, 2: 3})
+
+
+def test_one_of_two_writers_fails(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/t").create(spark.range(10).toDF("a"))
+    snap = t.snapshot()
+    t.delete("a = 1")
+    with pytest.raises(FileExistsError):
+        t.store.save(dataclasses.replace(snap, version=2))
+    assert t.count_rows() == 9

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import logical_types
+from cairn.operators import decoders as D
 from cairn.operators import encodings as E
 from cairn.operators import positional as P
 from cairn.operators import repdef as R
@@ -496,6 +497,118 @@ def _(spark, d):
     return nested.select("o_custkey", F.posexplode("orders.lines").alias("i", "inner")).select("o_custkey", "i", F.posexplode("inner").alias("j", "l_linenumber"))
 
 
+# decoding
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(P.FRAG).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _text_at(decoded: DataFrame, name: str = "v") -> DataFrame:
+    return decoded.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), F.md5("value").alias(name))
+
+
+_BLOB_SQL = f"SELECT frag, off, CASE WHEN v IS NOT NULL THEN md5(v) END AS v FROM (SELECT *, {_BLOB} AS v FROM {_at('documents', 256)})"
+
+
+@query("e03_offsets_decode", _BLOB_SQL)
+def _(spark, d):
+    rows = _rows(spark, d, "documents", 256).withColumn("v", F.expr(_BLOB))
+    return _text_at(D.offsets_decode(E.offsets_encode(rows, "v"), D.byte_pages(rows, "v")))
+
+
+@query("e16_blob_fetch", _BLOB_SQL)
+def _(spark, d):
+    rows = _rows(spark, d, "documents", 256).withColumn("v", F.expr(_BLOB))
+    return _text_at(D.blob_fetch(E.blob_descriptors(rows, "v"), D.byte_pages(rows, "v")))
+
+
+@query("e11_lists_by_offsets", f"SELECT k, items IS NULL AS none, len(items)::INTEGER AS n, list_aggregate(items, 'string_agg', ',') AS joined FROM {_LISTS_SQL}")
+def _(spark, d):
+    rows = _lists(spark, d).select(F.expr("k div 1000").alias(P.FRAG), F.col("k").alias(P.OFF), "items")
+    lists = D.lists_decode(D.list_ends(rows, "items"), D.item_pages(rows, "items"))
+    valid = F.filter("value", lambda x: x.isNotNull())
+    return lists.select(F.col(P.OFF).alias("k"), F.col("value").isNull().alias("none"), F.when(F.col("value").isNotNull(), F.size("value")).alias("n"), F.when(F.size(valid) > 0, F.array_join(valid, ",")).alias("joined"))
+
+
+@query("e06_constant_expand", f"SELECT frag, off, CASE WHEN frag % 3 <> 0 THEN frag * 7 END AS value FROM {_at('events', 1000)}")
+def _(spark, d):
+    sizes = _sizes(_rows(spark, d, "events", 1000))
+    return _value_at(D.constants_expand(sizes.select(P.FRAG, F.expr(f"CASE WHEN {P.FRAG} % 3 <> 0 THEN {P.FRAG} * 7 END").alias("value")), sizes), "value")
+
+
+@query("e14_constant_decode", f"SELECT frag, off, CASE WHEN event_id % 3 <> 0 THEN 'x' || frag END AS value FROM {_at('events', 1000)}")
+def _(spark, d):
+    rows = _rows(spark, d, "events", 1000).withColumn("v", F.expr(f"CASE WHEN event_id % 3 <> 0 THEN concat('x', {P.FRAG}) END"))
+    validity, _ = E.validity_split(rows, "v")
+    return _value_at(D.constants_expand(E.constants(rows, ["v"]).select(P.FRAG, "value"), _sizes(rows), validity), "value")
+
+
+@query("e24_inline_bitpack", f"SELECT frag, chunk, length(bin(max(l_partkey)))::INTEGER AS width, count(*)::INTEGER AS n, ceil(count(*) * length(bin(max(l_partkey))) / 32)::INTEGER AS words FROM (SELECT *, (off // 1024)::BIGINT AS chunk FROM {_at('lineitem')}) GROUP BY frag, chunk")
+def _(spark, d):
+    return D.inline_pack(_rows(spark, d, "lineitem"), "l_partkey").select(F.col(P.FRAG).alias("frag"), "chunk", "width", "n", F.size("words").alias("words"))
+
+
+@query("e24_inline_round_trip", f"SELECT frag, off, l_partkey::BIGINT AS value FROM {_at('lineitem')}")
+def _(spark, d):
+    return _value_at(D.inline_unpack(D.inline_pack(_rows(spark, d, "lineitem"), "l_partkey")), "value")
+
+
+@query("e25_raw_tail_round_trip", f"SELECT frag, off, l_suppkey::BIGINT AS value FROM {_at('lineitem', 3000)}")
+def _(spark, d):
+    return _value_at(D.tail_unpack(D.tail_pack(_rows(spark, d, "lineitem", 3000), "l_suppkey", 24)), "value")
+
+
+@query("e26_transposed_order", f"""SELECT frag, CASE WHEN n = 1024 THEN off - off % 1024 + [0, 4, 2, 6, 1, 5, 3, 7][(off % 1024) // 64 // 8 + 1] * 16 + (off % 1024) // 64 % 8 * 128 + off % 64 ELSE off END::BIGINT AS off, l_partkey
+  FROM (SELECT *, count(*) OVER (PARTITION BY frag, off // 1024) AS n FROM {_at('lineitem')})""")
+def _(spark, d):
+    return _value_at(D.transpose(_rows(spark, d, "lineitem").select(P.FRAG, P.OFF, F.col("l_partkey").alias("value")), 16), "l_partkey")
+
+
+#: Symbols of the test column.
+SYMBOLS = ("Brand#", "Part ", "part", "an", "1", "in", " ", "th")
+
+
+@query("e23_symbols_decode", "SELECT p_partkey, p_name, p_brand FROM part")
+def _(spark, d):
+    rows = spark.read.parquet(_file(d, "part"))
+    back = [D.symbols_decode(D.symbols_encode(F.col(c), SYMBOLS), SYMBOLS).cast("string").alias(c) for c in ("p_name", "p_brand")]
+    return rows.select("p_partkey", *back)
+
+
+_NESTED = """SELECT o_custkey AS k, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN array() ELSE array_sort(collect_list(
+  named_struct('n', o_orderkey, 'v', CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN array() ELSE array(o_orderkey, CAST(NULL AS BIGINT), o_custkey) END))) END AS items FROM {orders} GROUP BY o_custkey"""
+_NESTED_SQL = """SELECT o_custkey AS k, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN [] ELSE
+  list(CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN [] ELSE [o_orderkey::BIGINT, NULL, o_custkey::BIGINT] END ORDER BY o_orderkey) END AS items FROM orders GROUP BY o_custkey"""
+
+
+@query("e30_nested_round_trip", f"""SELECT k, items IS NULL AS none, len(items)::INTEGER AS n, array_to_string(list_transform(items, lambda x: CASE WHEN x IS NULL THEN 'null' ELSE '(' || array_to_string(list_transform(x, lambda y: coalesce(y::VARCHAR, '-')), ',') || ')' END), ';') AS said FROM ({_NESTED_SQL})""")
+def _(spark, d):
+    nested = spark.sql(_NESTED, orders=spark.read.parquet(_file(d, "orders"))).select("k", F.transform("items", lambda x: x["v"]).alias("items"))
+    back = D.nested_assemble(D.nested_shred(nested, ["k"], "items"), ["k"])
+    inner = lambda x: F.when(x.isNull(), "null").otherwise(F.concat(F.lit("("), F.array_join(F.transform(x, lambda y: F.coalesce(y.cast("string"), F.lit("-"))), ","), F.lit(")")))
+    there = F.col("items").isNotNull()
+    return back.select("k", (~there).alias("none"), F.when(there, F.size("items")).alias("n"), F.when(there, F.array_join(F.transform("items", inner), ";")).alias("said"))
+
+
+@query("e32_constant_levels", f"SELECT frag, off, 1 AS rep, 2 AS def FROM {_at('part')}")
+def _(spark, d):
+    levels = D.constant_levels(_sizes(_rows(spark, d, "part")), 1, 2)
+    return levels.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), "rep", "def")
+
+
+@query("e33_composite", f"""SELECT k, items IS NULL AS none, len(items)::INTEGER AS n, list_sum(items)::BIGINT AS total FROM (
+  SELECT row_number() OVER (ORDER BY page, k) - 1 AS k, items FROM (SELECT *, k % 2 AS page FROM {_LISTS_SQL}))""")
+def _(spark, d):
+    lists = _lists(spark, d)
+    place = F.row_number().over(Window.partitionBy("page").orderBy("k")) - 1
+    paged = lists.withColumn("page", F.col("k") % 2).select("page", place.cast("bigint").alias("k"), "items")
+    pages = [R.shred(paged.filter(F.col("page") == p), ["k"], "items") for p in (0, 1)]
+    back = R.assemble(D.composite(pages, "k"), ["k"])
+    total = F.aggregate(F.filter("items", lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.select("k", F.col("items").isNull().alias("none"), F.when(F.col("items").isNotNull(), F.size("items")).alias("n"), F.when(F.exists("items", lambda x: x.isNotNull()), total).alias("total"))
+
+
 # what DataFrames add to the reference: extensions
 
 

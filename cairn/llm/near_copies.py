@@ -38,6 +38,8 @@ WORDS, RADIUS = 4, 56
 CHAINS = 2
 #: Texts of a bucket that one order or one block of a cell holds.
 CELL = 1024
+#: Row numbers that one bitmap holds (what Spark's bitmap function makes).
+RUN = 1 << 15
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,6 +209,19 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(sided.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "similar")
 
 
+def among(rows: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose number is a ``node``. The nodes are put together to a bitmap of each run of `RUN` numbers, which
+    is a bit a row: while those fit Spark's limit for broadcasts, rows and their texts aren't shuffled."""
+    run, bits = fresh(rows, "__run", "__bits")
+    place = lambda c: F.col(c).bitwiseAND(F.lit(RUN - 1))
+    start = lambda c: F.shiftright(F.col(c), RUN.bit_length() - 1)
+    maps = nodes.groupBy(start("node").alias(run)).agg(F.call_function("bitmap_construct_agg", place("node")).alias(bits))
+    maps = materialise(maps, "maps")  # so its size is known when the join is planned
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place(row) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, (place(row) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(maps, (start(row) == F.col(run)) & there, "left_semi")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without near copies of others: one of each group stays."""
     row, digest, size, keys, prints = names = fresh(docs, "__row", "__digest", "__size", "__keys", "__print")
@@ -221,7 +236,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         each = distinct.select("node", "size", F.explode("keys").alias("key"))
         members = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
         members = materialise(members.join(distinct.select("node", "print"), "node"), "members")
-        sets = rows.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
+        sets = among(rows.select(F.col(row).alias("node"), F.col(text_col).alias("text")), "node", members.select("node"))
         sets = materialise(map_columns(sets, ["text"], "shingles binary", lambda: lambda c: [pa.array([shingle_set(t.as_py()).tobytes() for t in c[0]], pa.binary())], ["node"]), "sets")
 
         found = similar(sets, _pairs(chained(members)))
@@ -234,5 +249,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         grouped = distinct.select("none", "id", "node").join(roots, "node")
         best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "node")).alias("best")).select("best.node")
         gone = roots.select("node").join(best, "node", "left_anti")
-        kept = distinct.select(F.col("node").alias(row)).join(gone.select(F.col("node").alias(row)), row, "left_anti")
-        return tables.keep(rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), "kept")
+        kept = distinct.select("node").join(gone, "node", "left_anti")
+        return tables.keep(among(rows, row, kept).select(*[F.col(f"`{c}`") for c in docs.columns]), "kept")

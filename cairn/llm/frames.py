@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A kernel maps one Arrow batch's input columns to its output columns, row by row.
 Kernel = Callable[[Sequence[pa.Array]], Sequence[pa.Array]]
+#: Bytes of a batch that a kernel is given, and sends back, at once (one row at least).
+PART_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,22 +43,27 @@ def map_columns(
 
     ``keep`` names the columns that pass through (all by default). An output column replaces a
     kept column of the same name, whatever its case, as ``withColumn`` does. ``make_kernel`` runs once a task.
+    Kernels get batches in parts of about `PART_BYTES`, so what worker and JVM hold of results is bounded by that
+    and by the longest row, not by ten thousand rows of long texts.
     """
     added = T.StructType.fromDDL(outputs) if isinstance(outputs, str) else outputs
     taken = {f.name.lower() for f in added.fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken and (keep is None or f.name in keep)]
     names, n_kept = [f.name for f in [*kept, *added.fields]], len(kept)
-    sent = df.select(
-        *[F.col(f"`{f.name}`") for f in kept],
-        *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(inputs)],
-    )
+    # an input that passes through is sent once
+    place = {f.name: i for i, f in enumerate(kept)}
+    extra = [c for c in dict.fromkeys(inputs) if c not in place]
+    place |= {c: n_kept + i for i, c in enumerate(extra)}
+    sent = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
         for batch in batches:
-            columns = batch.columns
-            made = kernel(columns[n_kept:])
-            yield pa.RecordBatch.from_arrays([*columns[:n_kept], *made], names=names)
+            rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for at in range(0, max(1, batch.num_rows), rows):
+                columns = batch.slice(at, rows).columns
+                made = kernel([columns[place[c]] for c in inputs])
+                yield pa.RecordBatch.from_arrays([*columns[:n_kept], *made], names=names)
 
     return sent.mapInArrow(run, T.StructType([*kept, *added.fields]))
 

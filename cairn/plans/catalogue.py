@@ -13,6 +13,7 @@ from cairn.operators import decoders as D
 from cairn.operators import encodings as E
 from cairn.operators import positional as P
 from cairn.operators import repdef as R
+from cairn.sources.deletion_files import read_deletions, write_deletions
 from cairn.sources.shared import shared_folder
 from cairn.sources.table import VersionedTable
 from cairn.streaming import windows
@@ -125,6 +126,20 @@ def _(spark, d):
     return _table(spark, d, "region", K, "true").read()
 
 
+def _masked_by_files(name: str, kind: str):
+    """Rows of fragments whose masked ones are named by files of the kind, which the query writes first."""
+
+    @query(name, f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT {GONE}")
+    def _(spark, d):
+        rows = _rows(spark, d, "orders")
+        paths = write_deletions(rows.filter(GONE), shared_folder(spark, name), kind, 1)
+        return _orders(P.apply_deletions(rows, read_deletions(spark, paths)))
+
+
+_masked_by_files("s12_deletions_arrow", "arrow")
+_masked_by_files("s13_deletions_bitmap", "bitmap")
+
+
 def _counts(spark: SparkSession, counts: dict[int, int]) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "version int, n bigint")
 

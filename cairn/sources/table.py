@@ -162,7 +162,15 @@ class VersionedTable:
     def delete(self, predicate: str) -> VersionedTable:
         """Mask the visible rows that a SQL predicate is true for."""
         snap = self.snapshot()
-        hit = self._scan(snap, None).filter(predicate).select(P.FRAG, P.OFF)
+        return self._mask(snap, self._scan(snap, None).filter(predicate).select(P.FRAG, P.OFF))
+
+    def delete_at(self, positions: DataFrame) -> VersionedTable:
+        """Mask rows by ``(__frag, __off)``, as from deletion files; repeats, masked rows and places that no row has don't matter."""
+        snap = self.snapshot()
+        visible = self._scan(snap, [n for _, n, _ in snap.fields[:1]]).select(P.FRAG, P.OFF)
+        return self._mask(snap, visible.join(positions.select(P.FRAG, P.OFF), [P.FRAG, P.OFF], "left_semi"))
+
+    def _mask(self, snap: Snapshot, hit: DataFrame) -> VersionedTable:
         if snap.deletions:
             hit = hit.unionByName(self.spark.read.parquet(f"{self.path}/deletions/{snap.deletions}"))
         name = uuid.uuid4().hex

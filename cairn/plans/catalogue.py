@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import logical_types
+from cairn.operators import buffers as B
 from cairn.operators import decoders as D
 from cairn.operators import encodings as E
 from cairn.operators import positional as P
@@ -178,6 +179,31 @@ def _(spark, d):
     return _counts(spark, {v: table.count_rows(v) for v in _VERSION_SQL})
 
 
+@query("s06_dataset_scan", _VERSION_SQL[1])
+def _(spark, d):
+    return _orders(_table(spark, d, "orders").read())
+
+
+@query("s08_latest_version", _VERSION_SQL[3])
+def _(spark, d):
+    return _orders(_versions(spark, d).read())
+
+
+@query("s09_versions", "SELECT * FROM (VALUES (1), (2), (3)) AS v(version)")
+def _(spark, d):
+    return spark.createDataFrame([(v,) for v in _versions(spark, d).versions()], "version int")
+
+
+@query("s11_fragment_scan", f"SELECT o_orderkey, o_orderstatus FROM {_at('orders', 500, f'NOT {GONE}')} WHERE frag = 1")
+def _(spark, d):
+    return _table(spark, d, "orders", 500, GONE).read_fragment(1, ["o_orderstatus", "o_orderkey"], 2)
+
+
+@query("p03_projection_version", f"SELECT o_orderkey, o_totalprice FROM ({_VERSION_SQL[2]})")
+def _(spark, d):
+    return _versions(spark, d).read(["o_totalprice", "o_orderkey"], version=2)
+
+
 @query("a02_fragment_prefix_sum", f"SELECT frag, n AS visible, coalesce(sum(n) OVER (ORDER BY frag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT frag, count(*) AS n FROM {_at('orders', K, f'NOT {GONE}')} GROUP BY frag)")
 def _(spark, d):
     return P.visible_counts(_visible(spark, d, "orders", GONE)).withColumnRenamed(P.FRAG, "frag")
@@ -453,6 +479,44 @@ def _(spark, d):
     return E.unpack_fixed(E.pack_fixed(_rows(spark, d, "part"), widths), widths).withColumnsRenamed({P.FRAG: "frag", P.OFF: "off"})
 
 
+# pages as bytes
+
+_NUMBERS = {"l_orderkey": "int64", "l_linenumber": "uint8", "l_quantity": "float64", "l_discount": "float64"}
+_NUMBERS_SQL = f"SELECT frag, off, l_orderkey, l_linenumber::SMALLINT AS l_linenumber, l_quantity, l_discount FROM {_at('lineitem')}"
+_PLACED = {P.FRAG: "frag", P.OFF: "off"}
+
+
+@query("e01_flat_round_trip", f"SELECT frag, off, l_quantity FROM {_at('lineitem')}")
+def _(spark, d):
+    flat = {"l_quantity": "float64"}
+    return B.fixed_unpack(B.fixed_pack(_rows(spark, d, "lineitem"), flat), flat).withColumnsRenamed(_PLACED)
+
+
+@query("e02_bits_round_trip", f"SELECT frag, off, l_quantity > 25 AS value FROM {_at('lineitem')}")
+def _(spark, d):
+    return B.bits_unpack(B.bits_pack(_rows(spark, d, "lineitem").withColumn("more", F.expr("l_quantity > 25")), "more")).withColumnsRenamed(_PLACED)
+
+
+@query("e28_packed_rows", _NUMBERS_SQL)
+def _(spark, d):
+    return B.fixed_unpack(B.fixed_pack(_rows(spark, d, "lineitem"), _NUMBERS), _NUMBERS).withColumnsRenamed(_PLACED)
+
+
+@query("e28_packed_lists", f"SELECT frag, off, vec_id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM {_at('embeddings')}")
+def _(spark, d):
+    types = {"vec_id": "int64", "embedding": "float32[64]"}
+    rows = B.fixed_unpack(B.fixed_pack(_rows(spark, d, "embeddings"), types), types)
+    return rows.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), "vec_id", F.expr("CAST(embedding[0] AS DOUBLE) AS first"), F.expr("CAST(embedding[63] AS DOUBLE) AS last"))
+
+
+for _codec in B.CODECS:
+
+    @query(f"e29_compressed_{_codec}", _NUMBERS_SQL)
+    def _(spark, d, codec=_codec):
+        pages = B.fixed_pack(_rows(spark, d, "lineitem"), _NUMBERS)
+        return B.fixed_unpack(B.decompress(B.compress(pages, codec), codec), _NUMBERS).withColumnsRenamed(_PLACED)
+
+
 # nested lists
 
 #: Each order's line numbers, with null items, empty lists and null lists among them.

@@ -85,6 +85,13 @@ class VersionedTable:
             rows = rows.withColumn("_rowid", P.row_id(self._deleted(snap)))
         return P.without_positions(rows)
 
+    def read_fragment(self, frag: int, columns: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
+        """One fragment's visible rows; KeyError if the version has no such fragment. No other fragment's files are read."""
+        snap = self.snapshot(version)
+        if frag not in {f.frag for f in snap.fragments}:
+            raise KeyError(f"no fragment {frag}")
+        return P.without_positions(self._scan(snap, columns, {frag}))
+
     def count_rows(self, version: int | None = None) -> int:
         """From the snapshot alone; no data is read."""
         return sum(f.visible for f in self.snapshot(version).fragments)

@@ -154,3 +154,10 @@ def test_one_of_two_writers_fails(spark, tmp_path):
     with pytest.raises(FileExistsError):
         t.store.save(dataclasses.replace(snap, version=2))
     assert t.count_rows() == 9
+
+
+def test_one_fragment(counted):
+    assert ids(counted.read_fragment(0, version=1)) == list(range(40)) and ids(counted.read_fragment(0)) == list(range(30, 40))
+    assert counted.read_fragment(2, ["score"], 1).columns == ["score"] and counted.read_fragment(3).count() == 40
+    with pytest.raises(KeyError):
+        counted.read_fragment(3, version=2)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,14 @@ def _as_read(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values.astype(kind.to_pandas_dtype()), kind)
 
 
+def _stored(column: pa.Array, name: str, kind: str, stored: np.dtype) -> np.ndarray:
+    """Values as they are stored, none of them null; one that the type can't hold is an error."""
+    values = np.array([int(v) for v in column.to_pylist()], np.uint64) if pa.types.is_decimal(column.type) else column.to_numpy(zero_copy_only=False)
+    if stored.kind in "iu" and len(values) and (int(values.min()) < np.iinfo(stored).min or int(values.max()) > np.iinfo(stored).max):
+        raise ValueError(f"{name} holds values beyond {kind}")
+    return values.astype(stored)
+
+
 def fixed_pack(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """``(__frag, page)``: rows of these columns in order, as a packed struct; of one column it is a flat page."""
     layout = _layout(types)
@@ -68,11 +77,7 @@ def fixed_pack(df: DataFrame, types: dict[str, str]) -> DataFrame:
                 column, shape = flat, (-1, size)
             else:
                 shape = (-1,)
-            values = np.array([int(v) for v in column.to_pylist()], np.uint64) if pa.types.is_decimal(column.type) else column.to_numpy(zero_copy_only=False)
-            stored = layout[name].base
-            if stored.kind in "iu" and len(values) and (int(values.min()) < np.iinfo(stored).min or int(values.max()) > np.iinfo(stored).max):
-                raise ValueError(f"{name} holds values beyond {kind}")
-            out[name] = values.astype(stored).reshape(shape)
+            out[name] = _stored(column, name, kind, layout[name].base).reshape(shape)
         return pa.table({FRAG: pa.array([key[0].as_py()], pa.int32()), "page": pa.array([out.tobytes()], pa.binary())})
 
     return df.select(F.col(FRAG).cast("int").alias(FRAG), OFF, *types).groupBy(FRAG).applyInArrow(pack, f"{FRAG} int, page binary")
@@ -133,6 +138,44 @@ def bits_unpack(pages: DataFrame) -> DataFrame:
     return pages.select(F.col(FRAG).cast("int"), F.col("n").cast("bigint"), "page").mapInArrow(unpack, f"{FRAG} int, {OFF} bigint, value boolean")
 
 
+def nullable_pack(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """``(__frag, n, bits, page)``: a bitmap of which values are there, and those without gaps."""
+    stored = _layout({column: kind})[column]
+
+    def pack(key, rows):
+        held = pa.concat_arrays(rows.sort_by(OFF).column(column).chunks)
+        bits = np.packbits(held.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), bitorder="little").tobytes()
+        page = _stored(held.drop_null(), column, kind, stored).tobytes()
+        columns = {FRAG: pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(held)], pa.int64()), "bits": pa.array([bits], pa.binary())}
+        return pa.table(columns | {"page": pa.array([page], pa.binary())})
+
+    if stored.subdtype:
+        raise ValueError(f"{kind}: no flat type")
+    return df.select(F.col(FRAG).cast("int").alias(FRAG), OFF, column).groupBy(FRAG).applyInArrow(pack, f"{FRAG} int, n bigint, bits binary, page binary")
+
+
+def nullable_unpack(pages: DataFrame, kind: str) -> DataFrame:
+    """``(__frag, __off, value)``: values back among the nulls; a page must hold as many as its bitmap says."""
+    stored, own = _layout({"value": kind})["value"], _arrow_type(KINDS[kind])
+
+    def unpack(batches):
+        for batch in batches:
+            for frag, n, bits, page in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bits is None or page is None or 8 * len(bits) < n or len(page) % stored.itemsize:
+                    raise ValueError(f"no page of {n} values and nulls")
+                there, values = np.unpackbits(np.frombuffer(bits, np.uint8), count=n, bitorder="little").astype(bool), np.frombuffer(page, stored)
+                if there.sum() != len(values):
+                    raise ValueError(f"a page holds {len(values)} values of {there.sum()}")
+                spread = np.zeros(n, stored)
+                spread[there] = values
+                for i in range(0, n, BATCH):
+                    part = _as_read(spread[i : i + BATCH], own)
+                    part = pc.if_else(pa.array(there[i : i + BATCH]), part, pa.scalar(None, own))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), frag, np.int32)), pa.array(np.arange(i, i + len(part))), part], [FRAG, OFF, "value"])
+
+    return pages.select(F.col(FRAG).cast("int"), F.col("n").cast("bigint"), "bits", "page").mapInArrow(unpack, f"{FRAG} int, {OFF} bigint, value {KINDS[kind]}")
+
+
 def compressed(data: bytes, codec: str) -> bytes:
     """The plain size, lowest byte first, and then one frame of the codec."""
     return len(data).to_bytes(PREFIX, "little") + pa.Codec(codec).compress(data, asbytes=True)

@@ -509,6 +509,13 @@ def _(spark, d):
     return rows.select(F.col(P.FRAG).alias("frag"), F.col(P.OFF).alias("off"), "vec_id", F.expr("CAST(embedding[0] AS DOUBLE) AS first"), F.expr("CAST(embedding[63] AS DOUBLE) AS last"))
 
 
+@query("e15_values_and_bitmap", f"SELECT frag, off, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM {_at('events')}")
+def _(spark, d):
+    rows = _rows(spark, d, "events").withColumn("v", F.expr("CASE WHEN event_id % 3 <> 0 THEN value END"))
+    pages = B.compress(B.nullable_pack(rows, "v", "float64"), "zstd")
+    return B.nullable_unpack(B.decompress(pages, "zstd"), "float64").withColumnsRenamed(_PLACED)
+
+
 for _codec in B.CODECS:
 
     @query(f"e29_compressed_{_codec}", _NUMBERS_SQL)

@@ -73,6 +73,15 @@ def test_bits(spark):
     assert back(B.bits_unpack(pages), "value") == [True, False, False, True, True]
 
 
+@pytest.mark.parametrize(("stored", "given_as", "values"), [("int32", "int", [None, 7, None, None, None, None, 5, 6]), ("float64", "double", [0.5, None, 2.0]), ("uint64", "decimal(20,0)", [None, Decimal(2**64 - 1)])])
+def test_nulls(spark, stored, given_as, values):
+    pages = B.nullable_pack(frame(spark, values, given_as), "v", stored)
+    assert back(B.nullable_unpack(pages, stored), "value") == values
+    assert back(B.nullable_unpack(B.decompress(B.compress(pages, "lz4"), "lz4"), stored), "value") == values
+    with pytest.raises(Exception, match="values of"):
+        B.nullable_unpack(pages.withColumn("page", F.concat("page", "page", F.unhex(F.lit("00" * 8)))), stored).collect()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=2000), st.sampled_from(B.CODECS))
 def test_compressed(data, codec):

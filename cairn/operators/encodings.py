@@ -56,9 +56,9 @@ def bit_width(largest: Column) -> Column:
 def bitpack(df: DataFrame, column: str, width: int, chunk: int = 1024) -> DataFrame:
     """``(__frag, chunk, word, bits, n)``: values of ``width`` bits each, lowest bits first, in 32-bit words.
 
-    A value that lies across two words adds to both; a word is the sum of what falls into it.
+    A value that lies across two words adds to both; a word is the sum of what falls into it. A null is packed as 0.
     """
-    value, i = F.col(column).cast("bigint"), F.col(OFF) % chunk
+    value, i = F.coalesce(F.col(column).cast("bigint"), F.lit(0)), F.col(OFF) % chunk
     placed = df.select(FRAG, F.expr(f"{OFF} div {chunk}").alias("chunk"), value.alias("v"), (i * width).alias("bit"))
     placed = placed.withColumns({"word": F.expr("bit div 32"), "shift": (F.col("bit") % 32).cast("int")})
     low = F.expr("shiftleft(v, shift) & 4294967295")
@@ -68,16 +68,23 @@ def bitpack(df: DataFrame, column: str, width: int, chunk: int = 1024) -> DataFr
 
 
 def bitunpack(words: DataFrame, sizes: DataFrame, width: int, chunk: int = 1024, signed: bool = False) -> DataFrame:
-    """``(__frag, __off, value)`` from `bitpack`'s words and ``(__frag, rows)``."""
-    rows = sizes.select(FRAG, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias(OFF))
-    rows = rows.withColumns({"chunk": F.expr(f"{OFF} div {chunk}"), "bit": F.col(OFF) % chunk * width})
-    rows = rows.withColumns({"word": F.expr("bit div 32"), "shift": (F.col("bit") % 32).cast("int")})
-    after = words.select(FRAG, "chunk", (F.col("word") - 1).alias("word"), F.col("bits").alias("next"))
-    joined = rows.join(words, [FRAG, "chunk", "word"]).join(after, [FRAG, "chunk", "word"], "left")
+    """``(__frag, __off, value)`` from `bitpack`'s words and ``(__frag, rows)``; a chunk that lacks words is an error.
+
+    A chunk's words are one value and its rows are worked out from it: rows made before a join are taken by Spark for
+    as small as the sizes that they come from, and broadcast.
+    """
+    held = words.groupBy(FRAG, "chunk").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    chunks = sizes.filter("rows > 0").select(FRAG, "rows", F.explode(F.expr(f"sequence(0L, (rows - 1) div {chunk})")).alias("chunk"))
+    chunks = chunks.withColumn("n", F.expr(f"least(rows - chunk * {chunk}, {chunk}L)")).join(held, [FRAG, "chunk"], "left")
+    last = F.expr(f"(n * {width} + 31) div 32 - 1")
+    n = F.when(F.get("words", last.cast("int"))["word"] == last, F.col("n")).otherwise(F.raise_error(F.lit("a chunk lacks words")).cast("bigint"))
+    rows = chunks.select(FRAG, "chunk", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i")).withColumn("bit", F.col("i") * width)
+    at = F.expr("bit div 32").cast("int")
+    rows = rows.select(FRAG, (F.col("chunk") * chunk + F.col("i")).alias(OFF), (F.col("bit") % 32).cast("int").alias("shift"), F.get("words", at)["bits"].alias("bits"), F.get("words", at + 1)["bits"].alias("next"))
     mask = (1 << width) - 1
     raw = F.expr(f"(shiftrightunsigned(bits, shift) | case when shift + {width} > 32 then shiftleft(coalesce(next, 0L), 32 - shift) else 0L end) & {mask}L")
     value = F.when(raw >= 1 << (width - 1), raw - (1 << width)).otherwise(raw) if signed else raw
-    return joined.select(FRAG, OFF, value.alias("value"))
+    return rows.select(FRAG, OFF, value.alias("value"))
 
 
 def constants(df: DataFrame, columns: list[str]) -> DataFrame:

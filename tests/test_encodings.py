@@ -50,6 +50,17 @@ def test_bitpacking(spark, width):
     assert back(E.bitunpack(E.bitpack(df, "v", width), sizes, width, signed=True), 2050) == signed
 
 
+def test_unpacked_rows_are_never_broadcast(spark):
+    df = rows(spark, [v % 32 for v in range(3000)], "long", 3000)
+    words, sizes = E.bitpack(df, "v", 5), df.groupBy(FRAG).agg(F.count(F.lit(1)).alias("rows"))
+    plan = E.bitunpack(words, sizes, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan.split("Join ", 1)[0]
+    big = spark.range(1).selectExpr(f"0 AS {FRAG}", "40000 AS rows")
+    with pytest.raises(Exception, match="lacks words"):
+        E.bitunpack(words, big, 5).collect()
+    assert back(E.bitunpack(E.bitpack(rows(spark, [None] * 40 + [3], "long"), "v", 2), spark.range(1).selectExpr(f"0 AS {FRAG}", "41 AS rows"), 2)) == [0] * 40 + [3]
+
+
 def test_bit_width(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (255,), (256,)], "m long")
     assert [r.w for r in df.select(E.bit_width(F.col("m")).alias("w")).collect()] == [1, 1, 2, 8, 9]

@@ -18,10 +18,18 @@ LOCAL_BITS = 32
 
 
 def read_positions(spark: SparkSession, file: str, rows_per_fragment: int) -> DataFrame:
-    """One Parquet file as logical fragments of so many rows. The row index must be taken at the scan."""
-    at = F.col("_metadata.row_index")
+    """One Parquet file, or a folder's files in the order of their paths, as logical fragments of so many rows. The row
+    index must be taken at the scan; it begins anew in each file, so rows of earlier files are counted first."""
+    at, path = F.col("_metadata.row_index"), F.col("_metadata.file_path")
     df = spark.read.parquet(file)
-    return df.select("*", at.alias("__at")).select(*df.columns, F.expr(f"__at div {rows_per_fragment}").alias(FRAG), (F.col("__at") % rows_per_fragment).alias(OFF))
+    rows = df.select("*", at.alias("__at"))
+    if len(df.inputFiles()) > 1:
+        ends = df.select(path.alias("__file"), at.alias("__at")).groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
+        # a row a file
+        before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+        starts = ends.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
+        rows = df.select("*", path.alias("__file"), at.alias("__at")).join(F.broadcast(starts), "__file").withColumn("__at", F.col("__at") + F.col("__before"))
+    return rows.select(*df.columns, F.expr(f"__at div {rows_per_fragment}").alias(FRAG), (F.col("__at") % rows_per_fragment).alias(OFF))
 
 
 def row_range(spark: SparkSession, file: str, offset: int, limit: int) -> DataFrame:

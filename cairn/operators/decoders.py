@@ -21,9 +21,13 @@ ESCAPE = 255
 
 
 def _page_rows(rows: DataFrame, columns: Sequence[str], pages: DataFrame, value) -> DataFrame:
-    """``(__frag, __off, value)``: ``value(ends, i, row, page)`` of each row, all rows of a page from one row."""
+    """``(__frag, __off, value)``: ``value(ends, i, row, page)`` of each row, all rows of a page from one row.
+
+    The page is a lambda's argument, as a column of bytes is copied each time that it is named.
+    """
     held = rows.groupBy(FRAG).agg(F.array_sort(F.collect_list(F.struct(OFF, *columns))).alias("rows"))
-    made = F.transform("rows", lambda r, i: F.struct(r[OFF].alias(OFF), value(F.col("rows"), i, r, F.col("page")).alias("value")))
+    each = lambda page: F.transform("rows", lambda r, i: F.struct(r[OFF].alias(OFF), value(F.col("rows"), i, r, page).alias("value")))
+    made = F.flatten(F.transform(F.array("page"), each))
     return held.join(pages, FRAG).select(FRAG, F.explode(made).alias("r")).select(FRAG, f"r.{OFF}", "r.value")
 
 

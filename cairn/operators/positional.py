@@ -25,8 +25,9 @@ def read_positions(spark: SparkSession, file: str, rows_per_fragment: int) -> Da
     rows = df.select("*", at.alias("__at"))
     if len(df.inputFiles()) > 1:
         ends = df.select(path.alias("__file"), at.alias("__at")).groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
-        # a row a file
-        before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+        # a row a file; the scan names files as URLs, which are in another order where they escape a character
+        plain = F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B")))
+        before = F.sum("__n").over(Window.orderBy(plain).rowsBetween(Window.unboundedPreceding, -1))
         starts = ends.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
         rows = df.select("*", path.alias("__file"), at.alias("__at")).join(F.broadcast(starts), "__file").withColumn("__at", F.col("__at") + F.col("__before"))
     return rows.select(*df.columns, F.expr(f"__at div {rows_per_fragment}").alias(FRAG), (F.col("__at") % rows_per_fragment).alias(OFF))

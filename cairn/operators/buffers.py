@@ -7,10 +7,13 @@ value is null belongs in a bitmap beside the page, so a null among the values is
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.positional import FRAG, OFF
@@ -57,6 +60,15 @@ def _stored(column: pa.Array, name: str, kind: str, stored: np.dtype) -> np.ndar
     return values.astype(stored)
 
 
+def fits(types: dict[str, str]) -> Column:
+    """Whether `fixed_pack` takes a row: no value is null, and lists are of their size, without null items."""
+    each = [F.col(name).isNotNull() for name in types]
+    for name, kind in types.items():
+        if size := kind.partition("[")[2]:
+            each += [F.size(name) == int(size[:-1]), F.forall(name, lambda x: x.isNotNull())]
+    return F.coalesce(reduce(and_, each), F.lit(False))
+
+
 def fixed_pack(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """``(__frag, page)``: rows of these columns in order, as a packed struct; of one column it is a flat page."""
     layout = _layout(types)

@@ -18,8 +18,8 @@ LOCAL_BITS = 32
 
 
 def read_positions(spark: SparkSession, file: str, rows_per_fragment: int) -> DataFrame:
-    """One Parquet file, or a folder's files in the order of their paths, as logical fragments of so many rows. The row
-    index must be taken at the scan; it begins anew in each file, so rows of earlier files are counted first."""
+    """One Parquet file, or a folder's files in the order of their names, partition by partition, as logical fragments of so
+    many rows. The row index must be taken at the scan; it begins anew in each file, so rows of earlier files are counted first."""
     at, path = F.col("_metadata.row_index"), F.col("_metadata.file_path")
     df = spark.read.parquet(file)
     rows = df.select("*", at.alias("__at"))
@@ -27,7 +27,9 @@ def read_positions(spark: SparkSession, file: str, rows_per_fragment: int) -> Da
         ends = df.select(path.alias("__file"), at.alias("__at")).groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
         # a row a file; the scan names files as URLs, which are in another order where they escape a character
         plain = F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B")))
-        before = F.sum("__n").over(Window.orderBy(plain).rowsBetween(Window.unboundedPreceding, -1))
+        # as DuckDB lists them, in which the SQL is stated: folders above the last go by their paths, the last by its name alone
+        above, last = (F.regexp_extract(plain, "(?s)^(.*/)([^/]*)/[^/]*$", i) for i in (1, 2))
+        before = F.sum("__n").over(Window.orderBy(above, last, plain).rowsBetween(Window.unboundedPreceding, -1))
         starts = ends.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
         rows = df.select("*", path.alias("__file"), at.alias("__at")).join(F.broadcast(starts), "__file").withColumn("__at", F.col("__at") + F.col("__before"))
     return rows.select(*df.columns, F.expr(f"__at div {rows_per_fragment}").alias(FRAG), (F.col("__at") % rows_per_fragment).alias(OFF))

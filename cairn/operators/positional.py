@@ -27,9 +27,12 @@ def read_positions(spark: SparkSession, file: str, rows_per_fragment: int) -> Da
         ends = df.select(path.alias("__file"), at.alias("__at")).groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
         # a row a file; the scan names files as URLs, which are in another order where they escape a character
         plain = F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B")))
-        # as DuckDB lists them, in which the SQL is stated: folders above the last go by their paths, the last by its name alone
+        # as DuckDB lists them, in which the SQL is stated: folders above the last go by their paths, the last by its name
+        # alone, but the files of the first folders, as many as make two files, together by their paths
         above, last = (F.regexp_extract(plain, "(?s)^(.*/)([^/]*)/[^/]*$", i) for i in (1, 2))
-        before = F.sum("__n").over(Window.orderBy(above, last, plain).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.withColumn("__first", F.rank().over(Window.orderBy(above, last)) <= 2)
+        order = Window.orderBy(F.desc("__first"), F.when(F.col("__first"), plain), above, last, plain)
+        before = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1))
         starts = ends.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
         rows = df.select("*", path.alias("__file"), at.alias("__at")).join(F.broadcast(starts), "__file").withColumn("__at", F.col("__at") + F.col("__before"))
     return rows.select(*df.columns, F.expr(f"__at div {rows_per_fragment}").alias(FRAG), (F.col("__at") % rows_per_fragment).alias(OFF))
